@@ -138,7 +138,7 @@ QUERIES = {"op2_secret_scan": op2}
 def _duck_spans(kind: str, pattern: str, least: int, group: int, rank: int) -> str:
     """Positions in DuckDB: pieces and matches alternate, as above."""
     quoted = pattern.replace("'", "''")
-    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, CAST(list_sum(list_transform(gaps[1:i], g -> length(g))) + coalesce(list_sum(list_transform(found[1:i-1], g -> length(g))), 0) AS BIGINT) AS s, length(found[i]) AS n
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i-1], lambda g: length(g))), 0) AS BIGINT) AS s, length(found[i]) AS n
       FROM (SELECT doc_id, gaps, found, kept, unnest(range(1, len(found) + 1)) AS i FROM (
         SELECT doc_id, string_split_regex(coalesce(text, ''), '{quoted}') AS gaps, regexp_extract_all(coalesce(text, ''), '{quoted}', 0) AS found, regexp_extract_all(coalesce(text, ''), '{quoted}', {group}) AS kept FROM documents)) WHERE length(kept[i]) >= {least}"""
 
