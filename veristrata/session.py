@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +27,34 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine where it is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="veristrata-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names."""
+    """Cut lineage with a written table in the shared folder: compressed, and read by column.
+
+    The session removes its tables when the interpreter ends.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veristrata-"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001  the session may have ended
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
