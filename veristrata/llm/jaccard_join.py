@@ -2,17 +2,17 @@
 
 A document's set is its distinct word n-grams, as 64-bit hashes, in one global
 order: by hash, with the most frequent ones last. Two sets whose Jaccard
-similarity reaches num/den share an element among their first
-s - ceil(s * num / den) + 1, so sets that share such an element meet in that
-element's block. In a block, the ordered sets form a trie (their sorted list
+similarity reaches num/den share a path of two elements, which follow each
+other in both, within prefixes of a known length; so sets that share such a
+path meet in its block. In a block, the ordered sets form a trie (their sorted list
 with the lengths of common prefixes). A probe walks it once: sets that share a
 prefix share the overlap counted so far, and a subtree is left as soon as the
 elements that remain cannot make up the overlap needed. All links are exact.
 
-Copies (equal sets) are one class. An element whose block lies within another
-element's block is left out, so near copies are mostly sent once. A block with
-more than CHUNK classes is split into chunks, and each pair of chunks is a task
-of its own. A block returns the classes' components rather than all pairs; the
+Copies (equal sets) are one class. Blocks that hang together and are small
+enough are one block, to which each class is sent once; in large ones, blocks
+whose classes are joined or compared by then are left out. A block with more than CHUNK classes is split into
+chunks, and each pair of chunks is a task of its own. A block returns the classes' components rather than all pairs; the
 components of all blocks are joined by alternating stars.
 
 Nothing is capped: the list of frequent elements has FREQUENT entries at most,
@@ -33,14 +33,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import pieces, text_of, words
+from veristrata.llm.common import pieces, text_of
 from veristrata.session import cut, table
 
 FREQUENT = 1 << 16
 #: A shingle is frequent if so many sets of one task have it.
 FREQUENT_LEAST = 16
 CHUNK = 4096
-#: A block larger than this is not preferred for taking in others.
+#: Rounds in which a class is sent to one block.
+ROUNDS = 1
+#: Bytes of text that are hashed at a time.
+PIECE = 1 << 19
+#: Groups of classes up to this size are one block; larger blocks are not preferred in a round.
 LARGE = 2000
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD))
 
@@ -58,32 +62,81 @@ class Similarity:
         return -(-self.num * (a + b) // (self.num + self.den))
 
     def prefix(self, size: int) -> int:
-        return size - -(-self.num * size // self.den) + 1
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingle_set(text: bytes, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct hashes of the n-grams; of the whole sequence, if it is shorter."""
-    tokens = words(text)
-    if not tokens:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.array([hashes[w] for w in tokens], dtype=np.uint64)
-    short = len(h) < n
-    size = len(h) if short else n
-    out = np.full(len(h) - size + 1, np.uint64(size if short else 0x5EED), dtype=np.uint64)
-    for k in range(size):
-        out = (out ^ h[k : len(h) - size + 1 + k]) * _MIX[k % len(_MIX)]
-        out ^= out >> np.uint64(31)
-    return np.unique(out * _MIX[0])
+        """So many first elements hold two that follow each other in both of any two linked sets.
+
+        Where the shorter of two such prefixes ends, the one set has x elements
+        that the other lacks, and the other y; the common ones then form
+        x + y + 1 runs at most, so some run has two if there are 2 x + y + 2.
+        0 if only an equal set can link.
+        """
+        if size not in self._prefixes:
+            others = np.arange(-(-self.num * size // self.den), size * self.den // self.num + 1)
+            least = self.least_overlap(size, others)
+            lost = 2 * (size - least) + (others - least)
+            self._prefixes[size] = int(lost.max()) + 2 if lost.max() > 0 else 0
+        return self._prefixes[size]
+
+    def __post_init__(self):
+        if 10 * self.num < 7 * self.den or self.num > self.den:
+            raise ValueError("a similarity from 0.7 to 1")
+        object.__setattr__(self, "_prefixes", {})
+
+
+def _byte_codes() -> np.ndarray:
+    """A random 64-bit number for each byte, from a fixed seed; A-Z as a-z, and white space as 0."""
+    codes = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    codes[ord("A") : ord("Z") + 1] = codes[ord("a") : ord("z") + 1]
+    codes[[9, 10, 11, 12, 13, 32]] = 0
+    return codes
+
+
+_CODES = _byte_codes()
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words in bytes that end with white space: a polynomial of the bytes' codes."""
+    codes = _CODES[data]
+    inside = codes != 0
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return starts, np.zeros(0, dtype=np.uint64)
+    lengths = ends - starts
+    codes = codes[inside]
+    offsets = np.cumsum(lengths) - lengths
+    at = np.arange(len(codes)) - np.repeat(offsets, lengths)
+    powers = np.cumprod(np.full(int(lengths.max()), _MIX[1], dtype=np.uint64))
+    h = np.add.reduceat(codes * powers[at], offsets) + lengths.astype(np.uint64) * _MIX[3]
+    h = (h ^ (h >> np.uint64(32))) * _MIX[0]
+    return starts, h ^ (h >> np.uint64(29))
+
+
+def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
+    """For each text, the sorted distinct hashes of its n-grams; of the whole sequence, if it is shorter."""
+    data = b"\n".join(texts) + b"\n"
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    starts, h = word_hashes(np.frombuffer(data, dtype=np.uint8))
+    limits = np.concatenate(([0], np.searchsorted(starts, ends))).tolist()
+    grams = np.full(max(len(h) - n + 1, 0), np.uint64(0x5EED), dtype=np.uint64)
+    for k in range(n):
+        grams = (grams ^ h[k : k + len(grams)]) * _MIX[k % len(_MIX)]
+        grams ^= grams >> np.uint64(31)
+    out = []
+    for a, b in zip(limits, limits[1:], strict=False):
+        if b - a >= n:
+            own = np.sort(grams[a : b - n + 1])
+            out.append(own[np.concatenate(([True], own[1:] != own[:-1]))])
+        else:
+            whole = np.full(min(b - a, 1), b - a, dtype=np.uint64)
+            for k in range(a, b):
+                whole = (whole ^ h[k]) * _MIX[2]
+                whole ^= whole >> np.uint64(31)
+            out.append(whole)
+    return out
+
+
+def shingle_set(text: bytes, n: int) -> np.ndarray:
+    return shingle_sets([text], n)[0]
 
 
 def set_key(s: np.ndarray) -> int:
@@ -189,7 +242,7 @@ def classes(docs: DataFrame, similarity: Similarity) -> DataFrame:
     """A row for each document (doc_id, text_hash, n, key), and rows with h set: frequent n-grams of a task (n: how often)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held, size = WordHashes(), set(), [], 0
+        seen, held, size = set(), [], 0
         names = ["doc_id", "text_hash", "n", "key", "h"]
 
         def often():
@@ -200,10 +253,9 @@ def classes(docs: DataFrame, similarity: Similarity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([none, none, pa.array(n.astype(np.int64)), none, pa.array(h.view(np.int64))], names=names)
 
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, "text", PIECE):
                 n, keys = [], []
-                for text in part.column(2):
-                    s = shingle_set(text.as_buffer().to_pybytes(), similarity.shingle, hashes)
+                for s in shingle_sets([t.as_buffer().to_pybytes() for t in part.column(2)], similarity.shingle):
                     key = set_key(s) if len(s) else None
                     n.append(len(s))
                     keys.append(key)
@@ -225,63 +277,123 @@ def classes(docs: DataFrame, similarity: Similarity) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, similarity: Similarity, frequent: np.ndarray) -> DataFrame:
-    """h, key: the elements by which classes can meet."""
+    """h, key, size: the pairs of neighbouring elements (as a hash) by which classes can meet."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
-            for part in pieces(batch):
-                h, keys = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for text in part.column(0):
-                    s = shingle_set(text.as_buffer().to_pybytes(), similarity.shingle, hashes)
+            for part in pieces(batch, "text", PIECE):
+                h, keys, sizes = [np.zeros(0, np.uint64)], [], []
+                for s in shingle_sets([t.as_buffer().to_pybytes() for t in part.column(0)], similarity.shingle):
                     key = set_key(s) if len(s) else None
                     if key is None or key in seen:
                         continue
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(key)
-                    h.append(ordered(s, shared.value)[: similarity.prefix(len(s))])
-                    keys.append(np.full(len(h[-1]), key, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(keys))], names=["h", "key"])
-
-    return docs.select(text_of().cast("binary").alias("text")).mapInArrow(run, "h long, key long")
+                    first = ordered(s, shared.value)[: similarity.prefix(len(s))]
+                    h.append((first[:-1] * _MIX[4]) ^ (first[1:] * _MIX[2] + _MIX[1]))
+                    keys.append(key)
+                    sizes.append(len(s))
+                counts = [len(x) for x in h[1:]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["h", "key", "size"])
 
+    return docs.select(text_of().cast("binary").alias("text")).mapInArrow(run, "h long, key long, size int")
 
-def blocks(pairs: DataFrame) -> DataFrame:
-    """block, key, n: where each class is sent. pairs: h, key."""
-    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_h = Window.partitionBy("h")
-    met = pairs.repartition(partitions, "h").groupBy("h", "key").agg(F.lit(1).alias("one")).withColumn("n", F.count("one").over(by_h)).filter("n > 1").drop("one")
-    met = cut(met)
-    # The block that may hold a class's other blocks: its largest that is not too large.
-    best = met.groupBy("key").agg(F.max(F.struct((F.col("n") <= LARGE).alias("fits"), "n", "h")).alias("best")).select("key", F.col("best.h").alias("best"))
-    kept = met.join(best, "key").withColumn("low", F.min("best").over(by_h)).withColumn("high", F.max("best").over(by_h))
-    return kept.filter((F.col("low") != F.col("high")) | (F.col("low") == F.col("h"))).select(F.col("h").alias("block"), "key", "n")
 
+def blocks(pairs: DataFrame, similarity: Similarity) -> DataFrame:
+    """h, key, n: the pairs of elements by which classes can link, and how many meet there. pairs: as of prefixes().
 
-def links(docs: DataFrame, known: DataFrame, where: DataFrame, similarity: Similarity) -> DataFrame:
-    """a, b: for each block and class, the first class of its component there. known: classes' documents; where: as of blocks()."""
-    sent = where.withColumn("parts", F.expr(f"cast((n + {CHUNK - 1}) div {CHUNK} as int)")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    sent = sent.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", F.struct("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("to"))
-    sent = sent.groupBy("key").agg(F.collect_list("to").alias("to"))  # no more than a class's own prefix, times its chunks
-    first = known.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    sent = sent.join(first, "key").select("key", "to", F.coalesce("first.doc_id", F.lit(-1)).alias("doc"), F.col("first.doc_id").isNull().alias("no_id"), F.col("first.text_hash").alias("text_hash"))
+    A class leaves a block where no class of a size that could link with its own is.
+    """
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_h, by_size = Window.partitionBy("h"), Window.partitionBy("h").orderBy("size", "key")
+    met = pairs.repartition(partitions, "h").groupBy("h", "key").agg(F.max("size").alias("size"))
+    met = met.withColumns({"before": F.lag("size").over(by_size), "after": F.lead("size").over(by_size)})
+    alike = lambda x, y: F.coalesce(F.lit(similarity.den) * x >= F.lit(similarity.num) * y, F.lit(False))
+    met = met.filter(alike(F.col("before"), F.col("size")) | alike(F.col("size"), F.col("after"))).select("h", "key")
+    return cut(met.withColumn("n", F.count("key").over(by_h)))
+
+
+def candidates(docs: DataFrame, known: DataFrame, met: DataFrame) -> DataFrame:
+    """key, text: a document for each class that meets another. known: classes' documents; met: as of blocks()."""
+    first = known.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).join(met.select("key").distinct(), "key")
+    first = first.select("key", F.coalesce("first.doc_id", F.lit(-1)).alias("doc"), F.col("first.doc_id").isNull().alias("no_id"), F.col("first.text_hash").alias("text_hash"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().cast("binary").alias("text"))
-    rows = texts.join(sent, ["doc", "no_id", "text_hash"]).select("key", "text", F.explode("to").alias("to")).select("to.block", "to.i", "to.j", "key", "text")
+    return cut(texts.join(first, ["doc", "no_id", "text_hash"]).select("key", "text"))
+
+
+def links(docs: DataFrame, known: DataFrame, met: DataFrame, similarity: Similarity) -> DataFrame:
+    """a, b: edges that join the classes of each component. met: as of blocks().
+
+    Classes that meet, directly or through others, form a group. A group of
+    LARGE classes at most is one block, and each class is sent once. In larger
+    groups, each class first goes to one of its paths' blocks, the largest
+    that is not too large; so near copies join there. Then it goes to all of
+    its blocks but those whose classes were all in one block, or are in one
+    component by now.
+    """
+    texts, by_h, edges = candidates(docs, known, met), Window.partitionBy("h"), None
+    groups = components(met.withColumn("a", F.min("key").over(by_h)).select("a", F.col("key").alias("b")))
+    groups = cut(met.select("key").distinct().join(groups.select(F.col("b").alias("key"), F.col("a").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key")))
+    sizes = cut(groups.groupBy("root").agg(F.count("*").alias("n")))
+    small = groups.join(sizes.filter(F.col("n") <= LARGE), "root").select(F.col("root").alias("block"), "key", "n")
+    small = in_blocks(texts, small, similarity)
+    large = sizes.filter(F.col("n") > LARGE)
+    if large.isEmpty():
+        return small
+    met = cut(met.join(groups.join(large.select("root"), "root").select("key"), "key"))
+    for _ in range(ROUNDS):
+        best = cut(met.groupBy("key").agg(F.max(F.struct((F.col("n") <= LARGE).alias("fits"), "n", "h")).alias("best")).select("key", F.col("best.h").alias("block")))
+        sizes = best.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
+        new = in_blocks(texts, best.join(sizes, "block"), similarity)
+        stars = components(new if edges is None else new.union(edges))
+        stars = stars.select(F.col("b").alias("key"), F.col("a").alias("root"))
+        rows = met.join(best, "key").join(stars, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rows = rows.withColumns({f"{f}_{c}": getattr(F, f)(c).over(by_h) for f in ("min", "max") for c in ("block", "root")})
+        met = cut(rows.filter("min_block != max_block and min_root != max_root").select("h", "key", "n"))
+        edges = stars.select(F.col("root").alias("a"), F.col("key").alias("b"))
+    return small.union(edges).union(in_blocks(texts, met.withColumnRenamed("h", "block"), similarity))
+
+
+def in_blocks(texts: DataFrame, where: DataFrame, similarity: Similarity) -> DataFrame:
+    """a, b: for each block and class, the first class of its component there. where: block, key, n (classes in the block)."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = where.withColumn("parts", F.expr(f"cast((n + {CHUNK - 1}) div {CHUNK} as int)")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    sent = sent.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = texts.join(sent, "key").select("block", "i", "j", "key", "text")
 
-    def run(group: pa.Table) -> pa.Table:
-        hashes, sets = WordHashes(), {}
-        for key, text in zip(group.column("key").to_pylist(), group.column("text"), strict=True):
-            if key not in sets:
-                sets[key] = shingle_set(text.as_buffer().to_pybytes(), similarity.shingle, hashes)
-        keys = sorted(sets)
-        root = block_components([sets[k] for k in keys], similarity)
-        a = [keys[r] for i, r in enumerate(root) if r != i]
-        b = [keys[i] for i, r in enumerate(root) if r != i]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks one after the other, as the rows are sorted; one block is held at a time."""
+        held, sets, a, b = None, {}, [], []
+
+        def solve():
+            keys = sorted(sets)
+            root = block_components([sets[k] for k in keys], similarity)
+            for i, r in enumerate(root):
+                if r != i:
+                    a.append(keys[r])
+                    b.append(keys[i])
 
-    return rows.groupBy("block", "i", "j").applyInArrow(run, "a long, b long")
+        for batch in batches:
+            for part in pieces(batch, "text", PIECE):
+                found = shingle_sets([t.as_buffer().to_pybytes() for t in part.column("text")], similarity.shingle)
+                for block, key, s in zip(zip(*(part.column(c).to_pylist() for c in ("block", "i", "j")), strict=True), part.column("key").to_pylist(), found, strict=True):
+                    if block != held:
+                        if len(sets) > 1:
+                            solve()
+                        held, sets = block, {}
+                    sets[key] = s
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a.clear()
+            b.clear()
+        if len(sets) > 1:
+            solve()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    to = ["block", "i", "j"]
+    return rows.repartition(partitions, *to).sortWithinPartitions(*to, "key").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -310,8 +422,8 @@ def grouped(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFra
     known = both.filter("h is null").drop("h")
     often = both.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()  # FREQUENT numbers
     frequent = np.sort(np.array([r["h"] for r in often], dtype=np.int64).view(np.uint64))
-    where = blocks(prefixes(docs, similarity, frequent))
-    stars = components(links(docs, known, where, similarity))
+    met = blocks(prefixes(docs, similarity, frequent), similarity)
+    stars = components(links(docs, known, met, similarity))
     keys = known.filter("key is not null").select("key").distinct()
     roots = keys.join(stars.select(F.col("b").alias("key"), F.col("a").alias("root")), "key", "left")
     return known, roots.select("key", F.coalesce("root", "key").alias("root"))
