@@ -42,6 +42,8 @@ FREQUENT_LEAST = 16
 CHUNK = 4096
 #: Rounds in which a class is sent to one block.
 ROUNDS = 1
+#: Edges, of 16 bytes, that one task may finish.
+FEW_EDGES = 1 << 18
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 19
 #: Groups of classes up to this size are one block; larger blocks are not preferred in a round.
@@ -396,14 +398,37 @@ def in_blocks(texts: DataFrame, where: DataFrame, similarity: Similarity) -> Dat
     return rows.repartition(partitions, *to).sortWithinPartitions(*to, "key").mapInArrow(run, "a long, b long")
 
 
+def stars_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """b, a: union-find over the edges of one task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            root[max(x, y)] = min(x, y)
+    nodes = [x for x in root if find(x) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([find(x) for x in nodes], pa.int64()), pa.array(nodes, pa.int64())], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """b, a: each node that has links, except the smallest of its component (a)."""
+    """b, a: each node that has links, except the smallest of its component (a).
+
+    Alternating stars until the edges are few enough (FEW_EDGES, counted) for one task.
+    """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct())
     before = None
     while True:
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before or not state["n"]:
             return edges
+        if state["n"] <= FEW_EDGES:
+            return cut(edges.coalesce(1).mapInArrow(stars_of, "a long, b long"))
         before = state
         # Large star: every larger neighbour of a node is linked with the node's smallest neighbour, or itself.
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
