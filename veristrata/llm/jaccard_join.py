@@ -4,10 +4,10 @@ A document's set is its distinct word n-grams, as 64-bit hashes, in one global
 order: by hash, with the most frequent ones last. Two sets whose Jaccard
 similarity reaches num/den share a path of two elements, which follow each
 other in both, within prefixes of a known length; so sets that share such a
-path meet in its block. In a block, the ordered sets form a trie (their sorted list
-with the lengths of common prefixes). A probe walks it once: sets that share a
-prefix share the overlap counted so far, and a subtree is left as soon as the
-elements that remain cannot make up the overlap needed. All links are exact.
+path meet in its block. In a block, the ordered sets form a prefix tree. A probe
+walks it once, level by level: sets that share a prefix share the overlap counted
+so far, and a subtree is left as soon as the elements that remain cannot make up
+the overlap needed. All links are exact.
 
 Copies (equal sets) are one class. Blocks that hang together and are small
 enough are one block, to which each class is sent once; in large ones, blocks
@@ -40,6 +40,8 @@ FREQUENT = 1 << 16
 #: A shingle is frequent if so many sets of one task have it.
 FREQUENT_LEAST = 16
 CHUNK = 4096
+#: Elements in a node of the prefix tree's first level; the next levels' nodes hold twice as many each.
+FIRST_WIDTH = 16
 #: Rounds in which a class is sent to one block.
 ROUNDS = 1
 #: Edges, of 16 bytes, that one task may finish.
@@ -156,81 +158,103 @@ def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Ordered sets as a sorted list with the lengths of the prefixes that neighbours share."""
+    """Ordered sets in a prefix tree, level by level; the nodes of a level hold so many elements as its width.
+
+    Widths double from FIRST_WIDTH, so there are few levels, and a set's rows are at most twice its size. Sets
+    with the same elements up to a level's end share its node, and with it the overlap counted so far.
+    """
 
     def __init__(self, sets: list[np.ndarray], similarity: Similarity):
         self.similarity = similarity
-        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.sizes = sizes = np.array([len(s) for s in sets], dtype=np.int64)
         all_, ranks = np.unique(np.concatenate(sets), return_inverse=True)
         # The order of ranks differs from the global order, but is as good inside the block: it is one order for all.
-        bounds = np.concatenate(([0], np.cumsum(self.sizes)))
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
         self.sets = [np.sort(ranks[a:b].astype(np.int32)) for a, b in zip(bounds, bounds[1:], strict=False)]
-        order = sorted(range(len(sets)), key=lambda i: self.sets[i].astype(">i4").tobytes())
-        self.has = np.zeros(len(all_), dtype=bool)
-        self.order = order
-        self.shared = [0] * len(order)
+        order = np.array(sorted(range(len(sets)), key=lambda i: self.sets[i].astype(">i4").tobytes()), dtype=np.int64)
+        shared = np.zeros(len(order), dtype=np.int64)
         for k in range(1, len(order)):
             a, b = self.sets[order[k - 1]], self.sets[order[k]]
             m = min(len(a), len(b))
             differ = np.flatnonzero(a[:m] != b[:m])
-            self.shared[k] = int(differ[0]) if len(differ) else m
+            shared[k] = differ[0] if len(differ) else m
+        self.has = np.zeros(len(all_) + 1, dtype=np.uint8)  # the last one pads rows that end early
+        self.left = np.ones(len(sets), dtype=bool)
+        self.levels = []
+        low, width, above = 0, FIRST_WIDTH, np.zeros(len(sets), dtype=np.int64)
+        while (inside := sizes[order] > low).any():
+            members, high = order[inside], low + width
+            # Sets that share up to `high` are neighbours, and all between them share as much.
+            at = np.cumsum(shared[inside] < high) - 1
+            firsts = np.flatnonzero(np.diff(at, prepend=-1))
+            rows = np.full((len(firsts), width), len(all_), dtype=np.int32)
+            for r, i in enumerate(members[firsts]):
+                part = self.sets[i][low:high]
+                rows[r, : len(part)] = part
+            own = sizes[members]
+            node = np.full(len(sets), -1, dtype=np.int64)
+            node[members] = at
+            ends = own <= high
+            self.levels.append(
+                {
+                    "low": low, "rows": rows, "parent": above[members[firsts]], "node": node,
+                    "least": np.minimum.reduceat(own, firsts), "most": np.maximum.reduceat(own, firsts),
+                    "live": np.bincount(at, minlength=len(firsts)), "last": np.minimum(rows, len(all_) - 1).max(axis=1),
+                    "ends": members[ends], "ends_at": at[ends],
+                }
+            )
+            low, width, above = high, 2 * width, node
+
+    def take(self, which: list[int] | np.ndarray) -> None:
+        """Takes sets out of the tree; nodes that hold none any more are not walked."""
+        self.left[which] = False
+        for level in self.levels:
+            nodes = level["node"][which]
+            np.subtract.at(level["live"], nodes[nodes >= 0], 1)
 
     def probe(self, which: int) -> list[int]:
-        """Takes the sets that link with this one out of the trie."""
-        own, size = self.sets[which], len(self.sets[which])
-        self.has[own] = True
-        linked, order, shared = [], [], []
-        needs = self.similarity.least_overlap(self.sizes[self.order] if self.order else np.zeros(0, np.int64), size).tolist()
-        counts = np.zeros(1, dtype=np.int64)  # overlap of each prefix of the path walked last
-        dead = -1  # the path walked last was left at this depth; -1: it was walked to its end
-        carry = None  # the prefix shared with the entry before, over entries that are taken out
-        for i, common, need in zip(self.order, self.shared, needs, strict=True):
-            m = int(self.sizes[i])
-            if carry is not None:
-                carry = min(carry, common)
-            kept = common if carry is None else carry
-            if dead < 0 or common < dead:
-                start = min(common, len(counts) - 1)
-                hits = np.cumsum(self.has[self.sets[i][start:]])
-                counts = np.concatenate((counts[: start + 1], counts[start] + hits))
-                if need > min(m, size) or counts[-1] < need:
-                    # The first depth from which the rest cannot do, even for the largest set that may follow.
-                    lost = np.arange(len(counts)) - counts
-                    most = self._most_lost(size)
-                    out = np.flatnonzero(lost > most)
-                    dead = int(out[0]) if len(out) else -1
-                    order.append(i)
-                    shared.append(kept)
-                    carry = None
-                else:
-                    dead = -1
-                    linked.append(i)
-                    carry = kept
-            else:
-                order.append(i)
-                shared.append(kept)
-                carry = None
-        self.has[own] = False
-        self.order, self.shared = order, shared
-        return linked
-
-    def _most_lost(self, size: int) -> int:
-        """Elements that a linked set can have beside the probe's: the largest such set has size * den / num."""
-        largest = size * self.similarity.den // self.similarity.num
-        return largest - int(self.similarity.least_overlap(largest, size))
+        """Takes the sets that link with this one out of the tree."""
+        own, size, s = self.sets[which], len(self.sets[which]), self.similarity
+        largest, smallest = size * s.den // s.num, -(-size * s.num // s.den)
+        self.has[own] = 1
+        found, alive, above = [], np.ones(1, dtype=bool), np.zeros(1, dtype=np.int64)
+        for level in self.levels:
+            at = np.flatnonzero(alive[level["parent"]] & (level["live"] > 0) & (level["least"] <= largest) & (level["most"] >= smallest))
+            if not len(at):
+                break
+            overlap = np.zeros(len(level["rows"]), dtype=np.int64)
+            overlap[at] = above[level["parent"][at]] + self.has[level["rows"][at]].sum(axis=1, dtype=np.int64)
+            alive = np.zeros(len(overlap), dtype=bool)
+            alive[at] = True
+            linked = level["ends"][alive[level["ends_at"]]]
+            linked = linked[self.left[linked]]
+            linked = linked[overlap[level["node"][linked]] >= s.least_overlap(self.sizes[linked], size)]
+            found.append(linked)
+            # What remains of the largest set below a node, and of the probe, must make up the overlap needed.
+            high = level["low"] + level["rows"].shape[1]
+            most = np.minimum(level["most"][at], largest)
+            rest = size - np.searchsorted(own, level["last"][at], side="right")
+            fits = overlap[at] + np.maximum(most - high, 0) >= s.least_overlap(most, size)
+            fits &= overlap[at] + rest >= s.least_overlap(np.maximum(level["least"][at], smallest), size)
+            alive[at[~fits]] = False
+            above = overlap
+        self.has[own] = 0
+        if not found:
+            return []
+        linked = np.concatenate(found)
+        self.take(linked)
+        return linked.tolist()
 
 
 def block_components(sets: list[np.ndarray], similarity: Similarity) -> list[int]:
-    """For each set, the first of its component; a trie probe for each set."""
+    """For each set, the first of its component; a probe of the prefix tree for each set."""
     trie, root = Trie(sets, similarity), list(range(len(sets)))
-    while trie.order:
-        seed = trie.order.pop(0)
-        if trie.shared:
-            first = trie.shared.pop(0)
-            if trie.shared:
-                trie.shared[0] = min(trie.shared[0], first)
+    for seed in range(len(sets)):
+        if not trie.left[seed]:
+            continue
+        trie.take([seed])
         group, queue = [seed], [seed]
-        while queue and trie.order:
+        while queue:
             found = trie.probe(queue.pop())
             group += found
             queue += found
