@@ -13,6 +13,7 @@ from veristrata.functions import risk
 from veristrata.functions.versions import dotted_key, range_verdict
 from veristrata.operators import advisories as adv
 from veristrata.operators import graph
+from veristrata.plans import more
 from veristrata.session import table
 
 # --- projections -----------------------------------------------------------
@@ -226,8 +227,8 @@ _ORACLES = {
 
 
 def queries():
-    return dict(_QUERIES)
+    return {**_QUERIES, **more.QUERIES}
 
 
 def oracle_sql():
-    return dict(_ORACLES)
+    return {**_ORACLES, **more.ORACLES}
