@@ -285,10 +285,10 @@ def classes(docs: DataFrame, similarity: Similarity) -> DataFrame:
                     key = set_key(s) if len(s) else None
                     n.append(len(s))
                     keys.append(key)
-                    if key is not None and key not in seen:  # each set once; the first quarter of the hashes holds the prefixes
+                    if key is not None and key not in seen:  # each set once
                         seen.add(key)
-                        held.append(s[: np.searchsorted(s, np.uint64(1 << 62))])
-                        size += len(held[-1])
+                        held.append(s)
+                        size += len(s)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
                 if size > 4_000_000:
                     yield from often()
@@ -363,10 +363,9 @@ def links(docs: DataFrame, known: DataFrame, met: DataFrame, similarity: Similar
     texts, by_h, edges = candidates(docs, known, met), Window.partitionBy("h"), None
     groups = components(met.withColumn("a", F.min("key").over(by_h)).select("a", F.col("key").alias("b")))
     groups = cut(met.select("key").distinct().join(groups.select(F.col("b").alias("key"), F.col("a").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key")))
-    sizes = cut(groups.groupBy("root").agg(F.count("*").alias("n")))
-    small = groups.join(sizes.filter(F.col("n") <= LARGE), "root").select(F.col("root").alias("block"), "key", "n")
+    large = cut(groups.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE))
+    small = groups.join(large, "root", "left_anti").select(F.col("root").alias("block"), "key", F.lit(1).alias("n"))  # unsplit: LARGE < CHUNK
     small = in_blocks(texts, small, similarity)
-    large = sizes.filter(F.col("n") > LARGE)
     if large.isEmpty():
         return small
     met = cut(met.join(groups.join(large.select("root"), "root").select("key"), "key"))
