@@ -48,8 +48,8 @@ ROUNDS = 1
 FEW_EDGES = 1 << 18
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 19
-#: Groups of classes up to this size are one block; larger blocks are not preferred in a round.
-LARGE = 2000
+#: Groups of classes up to this size are one block, in one task; larger blocks are not preferred in a round.
+LARGE = CHUNK
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD))
 
 
@@ -364,7 +364,7 @@ def links(docs: DataFrame, known: DataFrame, met: DataFrame, similarity: Similar
     groups = components(met.withColumn("a", F.min("key").over(by_h)).select("a", F.col("key").alias("b")))
     groups = cut(met.select("key").distinct().join(groups.select(F.col("b").alias("key"), F.col("a").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key")))
     large = cut(groups.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE))
-    small = groups.join(large, "root", "left_anti").select(F.col("root").alias("block"), "key", F.lit(1).alias("n"))  # unsplit: LARGE < CHUNK
+    small = groups.join(large, "root", "left_anti").select(F.col("root").alias("block"), "key", F.lit(1).alias("n"))  # not split
     small = in_blocks(texts, small, similarity)
     if large.isEmpty():
         return small
