@@ -27,13 +27,20 @@ def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> Sp
     return builder.getOrCreate()
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of this machine where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of this machine where it is unset, as in tests.
+
+    A running session does not take a new value for that setting, so this process remembers its own folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="veristrata-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="veristrata-"))
+    return _own_folder[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
