@@ -13,7 +13,7 @@ from veristrata.functions import risk
 from veristrata.functions.versions import dotted_key, range_verdict
 from veristrata.operators import advisories as adv
 from veristrata.operators import graph
-from veristrata.plans import more
+from veristrata.plans import more, reach
 from veristrata.session import table
 
 # --- projections -----------------------------------------------------------
@@ -227,8 +227,8 @@ _ORACLES = {
 
 
 def queries():
-    return {**_QUERIES, **more.QUERIES}
+    return {**_QUERIES, **more.QUERIES, **reach.QUERIES}
 
 
 def oracle_sql():
-    return {**_ORACLES, **more.ORACLES}
+    return {**_ORACLES, **more.ORACLES, **reach.ORACLES}
