@@ -235,6 +235,26 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_at_every_position(spark):
+    """Items of 11 tokens to 13, each at even and odd places, as they are and with one or two tokens changed."""
+    rows, want = [], set()
+    item = {n: [f"i{n}x{k}" for k in range(n)] for n in (11, 12, 13, 16)}
+
+    def seeded(n, changed):
+        return any(all(a + k not in changed for k, bit in enumerate(m) if bit == "1") for m in decontaminate.MASKS for a in range(n - len(m) + 1))
+
+    for n, changes in ((11, [(), (3,), (8,)]), (12, [(), (0,), (4,), (11,)]), (13, [(), (2,), (6,), (1, 12)]), (16, [(), (5, 10), (0, 8)])):
+        for changed in changes:
+            for at in range(4):
+                words = ["other" if k in changed else w for k, w in enumerate(item[n])]
+                rows.append((len(rows), " ".join([f"a{k}" for k in range(at)] + words + [f"z{k}" for k in range(9)])))
+                if seeded(n, changed):
+                    want.add((rows[-1][0], n, n - len(changed)))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in item.items()], "item_id long, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and {a for a, n, m in want if n == m} == {i for i, (_, t) in enumerate(rows) if "other" not in t}
+
+
 # 10
 def test_pii():
     p = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

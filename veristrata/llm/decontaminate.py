@@ -2,8 +2,8 @@
 
 Texts become lower-case runs of letters and digits. A mask is laid over SPAN
 tokens and hashes those at its ones, so a substituted token at a zero does not
-matter. Benchmark items are hashed at every position, documents at every
-STRIDE-th: any shared stretch of SPAN + STRIDE - 1 tokens holds such a window.
+matter. Benchmark items and documents are hashed at every position: any shared
+stretch of SPAN tokens holds such a window.
 Equal hashes give a document, an item and their offset. Each is verified in
 tokens: along the offset, some stretch of REACH tokens (the whole item, if it
 is shorter) must agree in SHARE of its positions.
@@ -24,6 +24,7 @@ from veristrata.session import cut, table
 
 MASKS = ("11101101011", "11011011101")
 SPAN = 11
+#: Of document windows in the oracle only, which so finds no more than the operator.
 STRIDE = 2
 REACH = 13
 SHARE = 0.75
@@ -37,13 +38,12 @@ def tokens(text: Column) -> Column:
     return F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, GAP))
 
 
-def seeds(column: str, step: int) -> Column:
-    """Hashes at every step-th position, one for each mask in turn: window i is at (i div masks) * step."""
-    n = len(MASKS)
-    picks = [", ".join(f"{column}[at + {k}]" for k, bit in enumerate(mask) if bit == "1") for mask in MASKS]
-    cases = " ".join(f"WHEN {i} THEN xxhash64({i}, {p})" for i, p in enumerate(picks)).replace("at +", f"(i div {n}) * {step} +")
-    last = f"{n} * ((size({column}) - {SPAN}) div {step}) + {n - 1}"
-    return F.expr(f"if(size({column}) < {SPAN}, cast(array() as array<bigint>), transform(sequence(0, {last}), i -> CASE cast(i % {n} as int) {cases} END))")
+def seeds(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, at, h: hashes at every position of `words`, one for each mask. Explodes and picks are generated code, higher-order functions are not."""
+    picks = [", ".join(f"words[at + {k}]" for k, bit in enumerate(mask) if bit == "1") for mask in MASKS]
+    hashes = F.array(*[F.expr(f"xxhash64({i}, {p})") for i, p in enumerate(picks)])
+    places = rows.filter(F.size("words") >= SPAN).select(*keep, "words", F.explode(F.expr(f"sequence(0, size(words) - {SPAN})")).alias("at"))
+    return places.select(*keep, "at", F.explode(hashes).alias("h"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -57,15 +57,13 @@ KEY = ["doc", "no_id", "text_hash"]
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """KEY, item, offset of document positions to item positions: distinct."""
-    n = len(MASKS)
-    own = items.select("item", F.posexplode(seeds("words", 1))).select("item", F.expr(f"cast(pos div {n} as int) as item_at"), F.col("col").alias("h"))
-    own = cut(own)
+    own = cut(seeds(items, "item").select("item", F.col("at").alias("item_at"), "h"))
     if own.count() <= BROADCAST_ROWS:
         own = F.broadcast(own)
     # Hashes of the tokens first: the masks then read longs.
     rows = keyed(docs).withColumn("words", F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)))
-    rows = rows.select(*KEY, F.posexplode(seeds("words", STRIDE))).select(*KEY, F.expr(f"cast(pos div {n} as int) * {STRIDE} as doc_at"), F.col("col").alias("h"))
-    return rows.join(own, "h").select(*KEY, "item", (F.col("doc_at") - F.col("item_at")).alias("offset")).distinct()
+    rows = seeds(rows, *KEY).join(own, "h")
+    return rows.select(*KEY, "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
