@@ -255,6 +255,14 @@ def test_decontaminate_at_every_position(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want) and {a for a, n, m in want if n == m} == {i for i, (_, t) in enumerate(rows) if "other" not in t}
 
 
+def test_decontaminate_short_items(spark):
+    """Items of fewer than 11 tokens are found as a whole; punctuation at an end adds no token."""
+    items = [(1, "Who wrote it?"), (2, "Paris"), (3, "p q r s t u v w x y."), (4, "..."), (5, " - a b c d e f g h i j k!"), (6, "no no")]
+    rows = [(1, "x who, wrote it z"), (2, "who wrote that it paris."), (3, "z p q r s t u v w x y z"), (4, "p q r s t OTHER v w x y ..."), (5, "z a b c d e f g h i j k"), (6, "no " * 40), (7, "parisian no"), (8, "who wrote"), (9, "a b c d e f g h i j k."), (None, "z PARIS"), (10, None)]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 3), (2, 2, 1), (3, 3, 10), (5, 5, 11), (6, 6, 2), (9, 5, 11), (None, 2, 1)], key=str)
+
+
 # 10
 def test_pii():
     p = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

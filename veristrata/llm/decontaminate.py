@@ -9,8 +9,9 @@ tokens: along the offset, some stretch of REACH tokens (the whole item, if it
 is shorter) must agree in SHARE of its positions.
 
 The join of hashes is by broadcast if the benchmark's are within BROADCAST_ROWS,
-else by shuffle. Items shorter than SPAN tokens are never reported. Null and
-empty texts match nothing. A repeated row is reported once; a null doc_id is
+else by shuffle. An item shorter than SPAN tokens has a mask of ones of its own
+length: it is found where a document holds all of it, token by token, even if it
+is a single word. Null and empty texts match nothing. A repeated row is reported once; a null doc_id is
 reported as null.
 """
 
@@ -24,7 +25,7 @@ from veristrata.session import cut, table
 
 MASKS = ("11101101011", "11011011101")
 SPAN = 11
-#: Of document windows in the oracle only, which so finds no more than the operator.
+#: Of document windows in the oracle only, which also leaves out short items and keeps empty last tokens.
 STRIDE = 2
 REACH = 13
 SHARE = 0.75
@@ -34,16 +35,17 @@ GAP = r"[^\p{L}\p{N}]+"
 
 
 def tokens(text: Column) -> Column:
-    trimmed = F.regexp_replace(F.lower(text), f"^{GAP}", "")
-    return F.when(trimmed == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(trimmed, GAP))
+    """Without the empty pieces before a first and after a last gap."""
+    return F.array_remove(F.split(F.lower(text), GAP), "")
 
 
-def seeds(rows: DataFrame, *keep: str) -> DataFrame:
-    """keep, at, h: hashes at every position of `words`, one for each mask. Explodes and picks are generated code, higher-order functions are not."""
-    picks = [", ".join(f"words[at + {k}]" for k, bit in enumerate(mask) if bit == "1") for mask in MASKS]
-    hashes = F.array(*[F.expr(f"xxhash64({i}, {p})") for i, p in enumerate(picks)])
-    places = rows.filter(F.size("words") >= SPAN).select(*keep, "words", F.explode(F.expr(f"sequence(0, size(words) - {SPAN})")).alias("at"))
-    return places.select(*keep, "at", F.explode(hashes).alias("h"))
+def seeds(rows: DataFrame, masks: list[str], *keep: str) -> DataFrame:
+    """keep, n (tokens), at, pos (the mask), h: hashes at every position of `words`, one for each mask that fits. Explodes and picks are generated code, higher-order functions are not."""
+    picks = [", ".join(f"words[at + {k}]" for k, bit in enumerate(mask) if bit == "1") for mask in masks]
+    hashes = F.array(*[F.expr(f"if(at + {len(mask)} <= size(words), xxhash64({i}, {p}), null)") for i, (mask, p) in enumerate(zip(masks, picks, strict=True))])
+    least = min(map(len, masks))
+    places = rows.filter(F.size("words") >= least).select(*keep, "words", F.explode(F.expr(f"sequence(0, size(words) - {least})")).alias("at"))
+    return places.select(*keep, F.size("words").alias("n"), "at", F.posexplode(hashes).alias("pos", "h")).filter("h is not null")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -57,18 +59,24 @@ KEY = ["doc", "no_id", "text_hash"]
 
 def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     """KEY, item, offset of document positions to item positions: distinct."""
-    own = cut(seeds(items, "item").select("item", F.col("at").alias("item_at"), "h"))
+    short = sorted(r.n for r in items.select(F.size("words").alias("n")).filter(f"n < {SPAN}").distinct().collect())  # SPAN - 1 rows at most
+    masks = [*MASKS, *("1" * n for n in short)]
+    lengths = F.array(*[F.lit(len(m)) for m in masks])
+    own = seeds(items, masks, "item").filter((F.col("pos") < len(MASKS)) | (lengths[F.col("pos")] == F.col("n")))
+    own = cut(own.select("item", F.col("at").alias("item_at"), "h", "n"))
     if own.count() <= BROADCAST_ROWS:
         own = F.broadcast(own)
     # Hashes of the tokens first: the masks then read longs.
     rows = keyed(docs).withColumn("words", F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)))
-    rows = seeds(rows, *KEY).join(own, "h")
-    return rows.select(*KEY, "item", (F.col("at") - F.col("item_at")).alias("offset")).distinct()
+    rows = seeds(rows, masks, *KEY).drop("n").join(own, "h").select(*KEY, "item", "n", (F.col("at") - F.col("item_at")).alias("offset"))
+    # Of a short item, which agrees as a whole at each offset, one is enough.
+    rows = rows.groupBy(*KEY, "item", F.when(F.col("n") >= SPAN, F.col("offset")).alias("at")).agg(F.min("offset").alias("offset"))
+    return rows.drop("at")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """KEY, item_id, matches: verified overlaps, one row for a text and an item."""
-    items = benchmark.select(F.col("item_id").alias("item"), tokens(text_of()).alias("item_words")).filter(F.size("item_words") >= SPAN)
+    items = benchmark.select(F.col("item_id").alias("item"), tokens(text_of()).alias("item_words")).filter(F.size("item_words") > 0)
     items = cut(items.withColumn("words", F.transform("item_words", lambda t: F.xxhash64(t))))
     found = hits(docs, items).join(items.select("item", F.size("item_words").alias("n")), "item")
     per_text = cut(found.groupBy(*KEY).agg(F.collect_list(F.struct("item", "offset", "n")).alias("found")))  # of one text
@@ -79,7 +87,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = rows.withColumn("same", F.expr("transform(sequence(0, size(part) - 1), i -> cast(part[i] = item_words[i + skip] as int))"))
     rows = rows.withColumn("reach", F.least(F.lit(REACH), F.size("item_words"))).filter(F.size("same") >= F.col("reach"))
     best = "array_max(transform(sequence(0, size(same) - reach), i -> aggregate(slice(same, i + 1, reach), 0, (a, x) -> a + x)))"
-    rows = rows.withColumn("best", F.expr(best)).filter(F.col("best") >= F.ceil(F.lit(SHARE) * F.col("reach")))
+    share = F.when(F.size("item_words") < SPAN, 1.0).otherwise(SHARE)
+    rows = rows.withColumn("best", F.expr(best)).filter(F.col("best") >= F.ceil(share * F.col("reach")))
     matches = F.expr("aggregate(same, 0, (a, x) -> a + x)").cast("long")
     return rows.select(*KEY, "item", matches.alias("matches")).groupBy(*KEY, "item").agg(F.max("matches").alias("matches"))
 
