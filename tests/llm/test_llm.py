@@ -86,6 +86,23 @@ def test_secrets(spark, docs, none):
     assert secret_scan.redact(docs).count() == docs.count() and secret_scan.scan(none).count() == 0
 
 
+def test_long_parts_meet(spark):
+    """An assignment of any length beside an endpoint, before or after it, up to SCOPE away."""
+    rows, want = [], {}
+    for size in (300, 500, 800, 1200, 3000):
+        for lead in (0, 150, 399):
+            for gap in (1, 400, 401):
+                secret, host = "token=" + "x" * size, "https://h.example"
+                for parts in ((secret, host), (host, secret)):
+                    want[len(rows)] = gap <= secret_scan.SCOPE
+                    rows.append((len(rows), "é" * lead + " " + (" " * gap).join(parts)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.scan(frame).collect()}
+    assert {i: "endpoint" in kinds for i, kinds in got.items()} == want and all(len(k) <= 2 for k in got.values())
+    clean = {r.doc_id: r.text for r in secret_scan.redact(frame).collect()}
+    assert {i: "https" not in t for i, t in clean.items()} == want
+
+
 # 3
 def test_quotes(spark):
     first, second, third = "Let us meet at noon\nby the old bridge", "I cannot come at noon, sorry", "Then we meet at nine"

@@ -4,8 +4,9 @@ Base spans are assignments, access identifiers and hexadecimal runs. Weak
 parts, which mean little alone, are 40-character secrets, URLs or host names
 with a port (endpoints), and client identifiers. Parts of one scope (a document
 and a distance of SCOPE code points) are joined by interval: each part is keyed
-by its bin of SCOPE code points and the two beside it, so that parts meet in an
-equi-join, and bins hold a bounded number of parts because spans of one kind do
+by all bins of SCOPE code points that it covers, a weak one by the two beside
+them as well, so that parts meet in an equi-join, once in the first bin that
+they share, and bins hold a bounded number of parts because spans of one kind do
 not overlap. A weak part is reported only where a complementary part lies
 within SCOPE: a secret or client identifier beside an identifier or endpoint
 that completes it, an endpoint beside a secret. Base spans are always reported.
@@ -77,13 +78,15 @@ def link(found: DataFrame) -> DataFrame:
     parts = F.concat(*[F.expr(f"transform({k}, s -> struct('{k}' as kind, s.start as start, s.end as end))") for k in KINDS])
     rows = found.filter(some_weak & some_other).select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), "text_hash", F.explode(F.array_distinct(parts)).alias("p")).distinct()
     key = ["doc", "no_id", "text_hash"]
-    weak = rows.filter(F.col("p.kind").isin(*WEAK)).select(*key, F.col("p").alias("weak"), F.explode(F.expr(f"sequence(cast(p.start / {SCOPE} as int) - 1, cast(p.end / {SCOPE} as int) + 1)")).alias("bin"))
-    other = rows.select(*key, F.col("p").alias("other"), F.expr(f"cast(p.start / {SCOPE} as int)").alias("bin"))
+    first, last = F.expr(f"cast(p.start / {SCOPE} as int)"), F.expr(f"cast(p.end / {SCOPE} as int)")
+    weak = rows.filter(F.col("p.kind").isin(*WEAK)).select(*key, F.col("p").alias("weak"), (first - 1).alias("weak_first"), F.explode(F.sequence(first - 1, last + 1)).alias("bin"))
+    other = rows.select(*key, F.col("p").alias("other"), first.alias("other_first"), F.explode(F.sequence(first, last)).alias("bin"))
     completes = F.lit(False)
     for kind, kinds in COMPLEMENT.items():
         completes = completes | ((F.col("weak.kind") == kind) & F.col("other.kind").isin(*kinds))
     near = (F.col("other.start") - F.col("weak.end") <= SCOPE) & (F.col("weak.start") - F.col("other.end") <= SCOPE)
-    joined = weak.join(other, [*key, "bin"]).filter(completes & near)
+    once = F.col("bin") == F.greatest("weak_first", "other_first")
+    joined = weak.join(other, [*key, "bin"]).filter(once & completes & near)
     linked = joined.groupBy(*key).agg(F.collect_set("weak").alias("linked"))  # of one text
     return linked.withColumnRenamed("text_hash", "of_text")
 
