@@ -31,6 +31,24 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def packed(docs: DataFrame, **helpers: Column) -> DataFrame:
+    """`row`, a struct of all of docs' columns, beside helper columns: no helper can clash with a column of the user's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in helpers.items()])
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns again, some with a new value."""
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns])
+
+
+def identity(doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
+    """What tells one text of one document from another, for null-safe equi-joins: doc, no_id, text_hash."""
+    return {"doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)), "no_id": F.col(doc_id).isNull(), "text_hash": F.xxhash64(text_of(text))}
+
+
+IDENTITY = ["doc", "no_id", "text_hash"]
+
+
 def words(data: bytes) -> list[bytes]:
     """Lower-cased words of UTF-8 text, split at \\x20 and \\x09-\\x0D only."""
     return data.lower().split()
