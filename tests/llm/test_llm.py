@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -208,10 +209,55 @@ def test_mixing(spark, docs, none):
     assert abs(sum(r.weight for r in plan.values()) - 1) < 1e-9 and plan["small"].weight > 0.1
     got = temperature_mix.mixture(rows)
     for r in got.groupBy("source").agg({"n_tokens": "sum"}).collect():
-        assert 0 <= plan[r.source].target - r[1] <= 10
+        assert 0 <= plan[r.source or ""].target - r[1] <= 10
     capped = {r.source: r.target / r.tokens for r in temperature_mix.weights(documents, max_repeats=1.5).collect()}
     assert max(capped.values()) <= 1.51
-    assert temperature_mix.mixture(none).count() == 0 and temperature_mix.mixture(docs).count() > 0
+    assert temperature_mix.mixture(none).count() == 0
+
+
+def mixed_by_sql(rows, block_tokens=None):
+    con = duckdb.connect()
+    con.register("documents", rows.toArrow())
+    sql = temperature_mix.ORACLE_SQL["op7_temperature_mix"]
+    if block_tokens:
+        sql = sql.replace(str(temperature_mix.BLOCK_TOKENS - 1), str(block_tokens - 1)).replace(str(temperature_mix.BLOCK_TOKENS), str(block_tokens))
+    return sorted((repr(r[0]), *r[1:]) for r in con.sql(sql).project("doc_id, source, n_tokens, epoch, block, block_key, doc_key").fetchall())
+
+
+def mixed(rows):
+    plan = temperature_mix.weights(temperature_mix.sizes(rows))
+    got = temperature_mix.mix(temperature_mix.sizes(rows), plan).select("doc_id", "source", "n_tokens", "epoch", "block", "block_key", "doc_key")
+    return sorted((repr(r[0]), *r[1:]) for r in got.collect())
+
+
+def test_mixing_edges_and_many_blocks(spark, docs, monkeypatch):
+    """Against SQL: nulls, empty and long texts, repeated rows, one hot source; then many blocks, whose keys share prefixes."""
+    assert mixed(docs) == mixed_by_sql(docs)
+    rng = random.Random(11)
+    rows = [(rng.randrange(500) if rng.random() > 0.3 else None, "w " * rng.choice([0, 1, 5, 9, 60]) + str(k), rng.choice([None, "hot", "hot", "hot", "b", "c"])) for k in range(900)]
+    frame = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, source string").repartition(4)
+    monkeypatch.setattr(temperature_mix, "BLOCK_TOKENS", 40)
+    for prefix in (1, 3):
+        monkeypatch.setattr(temperature_mix, "PREFIX", prefix)
+        got = mixed(frame)
+        assert got == mixed_by_sql(frame, 40)
+    assert len({r[2] for r in got}) > 3 and len({(r[1], r[4]) for r in got}) > 200 and len({r[4] for r in got if r[0] == "None"}) > 50  # rows without an id are spread
+    totals = spark.createDataFrame([("a", 100), ("b", 10), ("c", 1)], "source string, tokens long")
+    for target in (0.5, 0.8, 0.95):  # the bisection, step by step
+        lo, hi, ls = 0.0, 1.0, [np.log(x / 111) for x in (100, 10, 1)]
+        for _ in range(temperature_mix.ROUNDS):
+            m = (lo + hi) / 2
+            p = np.exp(m * np.array(ls)) / np.exp(m * np.array(ls)).sum()
+            lo, hi = (m, hi) if -(p * np.log(p)).sum() >= target * np.log(3) else (lo, m)
+        assert temperature_mix.exponent(totals, None, target, None) == (round(lo, 6), 111)
+
+
+def test_mixture_keeps_columns(docs):
+    clash = docs.withColumnsRenamed({"key": "epoch", "h": "block", "lang": "row"})
+    got = temperature_mix.mixture(clash)
+    assert got.columns == [*clash.columns, "n_tokens", "epoch_", "block_", "block_key", "doc_key"]
+    texts = {r.doc_id: r.text for r in clash.collect()}
+    assert all(r.text == texts[r.doc_id] or r.doc_id is None for r in got.collect()) and got.count() > 0
 
 
 # 8

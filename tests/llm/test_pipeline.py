@@ -77,7 +77,9 @@ def test_stages(spark):
     mixed = stage["mixing"](spark, safe, SF)
     want = oracle(temperature_mix.ORACLE_SQL["op7_temperature_mix"], safe)
     columns = sorted(set(mixed.columns) & set(want.columns))
-    assert "doc_id" in columns
+    assert "doc_id" in columns and set(docs.columns) < set(mixed.columns)
+    final = {r["doc_id"]: r["text"] for r in mixed.collect()}
+    assert all(t == after[i]["text"] for i, t in final.items()) and any("[SECRET]" in (t or "") for t in final.values())
     key = lambda rows: sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
     assert key(tuple(r) for r in mixed.select(*columns).collect()) == key(want[columns].astype(object).values.tolist())
 
