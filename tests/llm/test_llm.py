@@ -220,7 +220,7 @@ def mixed_by_sql(rows, block_tokens=None):
     con.register("documents", rows.toArrow())
     sql = temperature_mix.ORACLE_SQL["op7_temperature_mix"]
     if block_tokens:
-        sql = sql.replace(str(temperature_mix.BLOCK_TOKENS - 1), str(block_tokens - 1)).replace(str(temperature_mix.BLOCK_TOKENS), str(block_tokens))
+        sql = sql.replace("49999", str(block_tokens - 1)).replace("50000", str(block_tokens))
     return sorted((repr(r[0]), *r[1:]) for r in con.sql(sql).project("doc_id, source, n_tokens, epoch, block, block_key, doc_key").fetchall())
 
 
