@@ -64,6 +64,7 @@ def test_stages(spark):
     bad = set(oracle(decontaminate.ORACLE_SQL["op9_decontaminate"], once)["doc_id"].tolist())
     assert ids(clean) == ids(once) - bad and clean.columns == docs.columns
 
+    clean = cut(clean.union(spark.createDataFrame([(10**9, "a planted token = abcdefghi here", "en", "src0", 32)], docs.schema)))
     safe = cut(stage["secrets"](spark, clean, SF))
     before, after = ({r["doc_id"]: r for r in x.collect()} for x in (clean, safe))
     assert before.keys() == after.keys() and safe.columns == docs.columns
