@@ -88,6 +88,50 @@ def test_secrets(spark, docs, none):
     assert secret_scan.redact(docs).count() == docs.count() and secret_scan.scan(none).count() == 0
 
 
+BRUTE_WEAK = {
+    "secret40": r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])",
+    "endpoint": r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,23}://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![A-Za-z0-9.@-])[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+:[0-9]{2,5}(?![0-9])",
+    "client": r"(?ai:client|account|user)_?(?ai:id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.-]+)",
+}
+
+
+def brute_linked(t):
+    """All pairs of spans of a text."""
+    base, weak = brute_secrets(t), []
+    for rank, (kind, p) in enumerate(BRUTE_WEAK.items(), 3):
+        for m in re.finditer(p, t):
+            if len(m.group(1 if kind == "client" else 0)) >= secret_scan.WEAK[kind][1]:
+                weak.append((m.start(), rank, m.end(), kind))
+    near = lambda a, b: b[0] - a[2] <= secret_scan.SCOPE and a[0] - b[2] <= secret_scan.SCOPE
+    return sorted(base + [w for w in weak if any(o[3] in secret_scan.COMPLEMENT[w[3]] and near(w, o) for o in base + weak)])
+
+
+def test_linking_on_planted_texts(spark):
+    """Random parts at random distances, against all pairs; many spans in one text, more than a run."""
+    rng = random.Random(21)
+    parts = [lambda: "password=" + "p" * rng.randint(4, 60), lambda: "AKIA" + "Q" * rng.randint(14, 20), lambda: "0123456789abcdef" * rng.randint(1, 3), lambda: "Ab1/" * 10, lambda: "https://h" + "x" * rng.randint(1, 30) + ".example:443", lambda: "db-1.example.com:5432", lambda: 'client_id: "abc' + "9" * rng.randint(0, 9), lambda: "USERID=zz"]
+    texts = ["".join(rng.choice([" ", "é" * rng.randint(1, 90) + " ", "word " * rng.randint(1, 120)]) + rng.choice(parts)() for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    texts += [" ".join(rng.choice(parts)() for _ in range(400)), "a" * 300_000 + " https://x.example", "a." * 100_000 + " token=abcdef", "secret" + " " * 100_000]
+    got = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()
+    for r in got:
+        assert [tuple(s) for s in r.spans] == brute_linked(texts[r.doc_id]), texts[r.doc_id][:300]
+    assert sum(len(r.spans) > len(r.base) for r in got) > 50
+
+
+def test_secret_base_against_sql(spark):
+    rows = duckdb.connect()
+    rows.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = sorted(rows.sql(secret_scan.BASE_SQL).fetchall())
+    assert sorted(tuple(r)[:5] for r in secret_scan.op2(spark, "/root/testdata/sf0.001").collect()) == want
+
+
+def test_redact_keeps_other_columns(spark, docs):
+    clash = docs.withColumnsRenamed({"key": "spans", "h": "doc", "lang": "row", "source": "text_hash"})
+    assert sorted(map(repr, secret_scan.redact(clash).collect())) == sorted(map(repr, clash.collect()))
+    rows = spark.createDataFrame([(1, "a token=abcdef b", "mine"), (1, "a token=abcdef b", "mine too")], "doc_id long, text string, spans string")
+    assert sorted(map(tuple, secret_scan.redact(rows).collect())) == [(1, "a [SECRET] b", "mine"), (1, "a [SECRET] b", "mine too")]
+
+
 def test_long_parts_meet(spark):
     """An assignment of any length beside an endpoint, before or after it, up to SCOPE away."""
     rows, want = [], {}

@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking; DataFrame functions only.
 
 Base spans are assignments, access identifiers and hexadecimal runs. Weak
-parts, which mean little alone, are 40-character secrets, URLs or host names
-with a port (endpoints), and client identifiers. Parts of one scope (a document
+parts, which mean little alone, are 40-character secrets, endpoints (URLs, whose
+scheme has 24 characters at most, or host names with a port), and client identifiers. Parts of one scope (a document
 and a distance of SCOPE code points) are joined by interval: each part is keyed
 by all bins of SCOPE code points that it covers, a weak one by the two beside
 them as well, so that parts meet in an equi-join, once in the first bin that
@@ -11,8 +11,12 @@ not overlap. A weak part is reported only where a complementary part lies
 within SCOPE: a secret or client identifier beside an identifier or endpoint
 that completes it, an endpoint beside a secret. Base spans are always reported.
 
-Positions are code points, ends exclusive. Null and empty texts have no spans.
-Repeated rows get a row each; equal spans of different kinds are all kept.
+Positions are code points, ends exclusive. Null and empty texts have no spans;
+`redact` leaves them as they are. Texts of any length are read whole: patterns
+look at a character a bounded number of times. Repeated rows get a row each, and
+are linked once; equal spans of different kinds are all kept, by start, kind and
+end. A null doc_id is told from others by its text. Empty tables give no rows.
+`redact` keeps all other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import text_of
+from veristrata.llm.common import IDENTITY, identity, packed, text_of, unpacked
 from veristrata.session import cut, table
 
 SCOPE = 400
@@ -33,7 +37,7 @@ BASE = {
 }
 WEAK = {
     "secret40": (r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])", 40, 0),
-    "endpoint": (r"[a-z][a-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?", 8, 0),
+    "endpoint": (r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,23}+://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![A-Za-z0-9.@-])[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)++:[0-9]{2,5}(?![0-9])", 8, 0),
     "client": (r"(?i:client|account|user)_?(?i:id)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.-]+)", 4, 1),
 }
 KINDS = {**BASE, **WEAK}
@@ -41,27 +45,38 @@ KINDS = {**BASE, **WEAK}
 COMPLEMENT = {"secret40": ("access", "client", "endpoint"), "endpoint": ("assign", "secret40"), "client": ("assign", "secret40")}
 
 
+_SPANS = "array<struct<start:int,end:int>>"
+#: Matches whose positions are summed in one go.
+RUN = 64
+
+
 def spans_of(text: Column, pattern: str, least: int, group: int) -> Column:
     """array<struct<start, end>> of the leftmost non-overlapping matches whose group has the least length.
 
     The pieces between matches and the matches alternate, so running sums of
-    their lengths are the positions.
+    their lengths are the positions. They are summed in runs of RUN, whose spans
+    are put together in the end, so that no growing array is copied for each match.
     """
     p = F.lit(pattern)
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
     sizes = F.transform(F.regexp_extract_all(text, p, F.lit(0)), lambda x: F.char_length(x))
     kept = sizes if group == 0 else F.transform(F.regexp_extract_all(text, p, F.lit(group)), lambda x: F.char_length(x))
     parts = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), kept.alias("kept"))
-    empty = F.expr("cast(struct(0 as at, array() as found) as struct<at:int,found:array<struct<start:int,end:int>>>)")
+    none = F.expr(f"cast(array() as {_SPANS})")
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         end = start + x["size"]
-        new = F.when(x["kept"] >= least, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+        new = F.when(x["kept"] >= least, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(none)
         return F.struct(F.coalesce(end, start).alias("at"), F.when(x["size"].isNull(), state["found"]).otherwise(F.concat(state["found"], new)).alias("found"))
 
-    found = F.aggregate(parts, empty, step)["found"]
-    return F.when(text.rlike(pattern), found).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+    def run(state: Column, some: Column) -> Column:
+        inside = F.aggregate(some, F.struct(state["at"].alias("at"), none.alias("found")), step)
+        return F.struct(inside["at"].alias("at"), F.concat(state["found"], F.array(inside["found"])).alias("found"))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / RUN).cast("int")), lambda i: F.slice(parts, i * RUN + 1, F.lit(RUN)))
+    found = F.flatten(F.aggregate(runs, F.expr(f"cast(struct(0 as at, array() as found) as struct<at:int,found:array<{_SPANS}>>)"), run)["found"])
+    return F.when(text.rlike(pattern), found).otherwise(none)
 
 
 def base_and_weak(docs: DataFrame) -> DataFrame:
@@ -112,17 +127,18 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Base spans and linked parts may overlap; the text is cut at their union.
     """
-    found = scan(docs).filter(F.size("spans") > 0).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_no"), F.col("text_hash").alias("_hash"), "spans").dropDuplicates(["_id", "_no", "_hash"])
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_no": F.col("doc_id").isNull(), "_hash": F.xxhash64(text_of())})
-    joined = rows.join(found, ["_id", "_no", "_hash"], "left")
-    pieces = F.expr("""aggregate(spans, named_struct('at', 0, 'out', ''), (a, s) -> named_struct(
-        'at', greatest(a.at, s.end),
-        'out', if(s.start >= a.at, concat(a.out, substr(text, a.at + 1, s.start - a.at), '[SECRET]'), a.out)))""")
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(pieces["out"], F.expr("substr(text, aggregate(spans, 0, (a, s) -> greatest(a, s.end)) + 1)")))
-    out = joined.withColumn("text", clean)
+    found = scan(docs).filter(F.size("spans") > 0)
+    found = found.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), "text_hash", "spans").dropDuplicates(IDENTITY)
+    rows = packed(docs, **identity()).join(found, IDENTITY, "left")
+    pieces = F.expr("""aggregate(spans, cast(named_struct('at', 0, 'out', array()) as struct<at:int,out:array<string>>), (a, s) -> struct(
+        greatest(a.at, s.end) as at,
+        if(s.start >= a.at, concat(a.out, array(substr(row.text, a.at + 1, s.start - a.at))), a.out) as out))""")
+    rest = F.expr("substr(row.text, aggregate(spans, 0, (a, s) -> greatest(a, s.end)) + 1)")
+    rows = rows.withColumn("clean", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.array_join(F.concat(pieces["out"], F.array(rest)), "[SECRET]")))
+    changed = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.char_length("clean")).cast(docs.schema["n_chars"].dataType)
+    return unpacked(rows, docs.columns, **changed)
 
 
 def joined_spans(spans: Column) -> Column:
@@ -146,7 +162,7 @@ def _duck_spans(kind: str, pattern: str, least: int, group: int, rank: int) -> s
         SELECT doc_id, string_split_regex(coalesce(text, ''), '{quoted}') AS gaps, regexp_extract_all(coalesce(text, ''), '{quoted}', 0) AS found, regexp_extract_all(coalesce(text, ''), '{quoted}', {group}) AS kept FROM documents)) WHERE length(kept[i]) >= {least}"""
 
 
-#: No text of the driver's tables holds weak parts that link, except 40-character secrets and endpoints beside base spans, which RE2 cannot look behind for; so this gives the base columns only and is for tests.
+#: The base columns only, for tests: RE2 cannot look behind, as the weak parts need.
 BASE_SQL = (
     "WITH spans AS ("
     + " UNION ALL ".join(_duck_spans(k, p, n, g, i) for i, (k, (p, n, g)) in enumerate({"assign": BASE["assign"], "access": BASE["access"], "hex": ("[0-9a-f]+", 24, 0)}.items()))
