@@ -194,19 +194,67 @@ def test_trie_and_paths(seed):
                 assert set(zip(x, x[1:], strict=False)) & set(zip(y, y[1:], strict=False))
 
 
-def test_join(docs, none):
-    got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.join(docs, jaccard_join.OP4).collect()), key=repr)
-    rows = edge_rows()
-    sets = [jaccard_join.shingle_set(text(t).encode(), 4) for _, t, *_ in rows]
-    root = brute_components(sets, jaccard_join.OP4)
-    want = []
+def brute_join(rows, similarity):
+    """doc_id, set size, component, class size, links of each row, by all pairs."""
+    sets = [jaccard_join.shingle_set(text(t).encode(), similarity.shingle) for _, t, *_ in rows]
+    root, n, same = brute_components(sets, similarity), len(rows), lambda a, b: len(sets[a]) and np.array_equal(sets[a], sets[b])
+
+    def linked(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return a != b and both > 0 and similarity.den * both >= similarity.num * (len(sets[a]) + len(sets[b]) - both)
+
+    out = []
     for k, (i, *_) in enumerate(rows):
-        ids = [rows[j][0] for j in range(len(rows)) if root[j] == root[k] and rows[j][0] is not None]
-        want.append((i, i if not len(sets[k]) else min(ids, default=None)))
-    assert got == sorted(want, key=repr)
+        ids = [rows[j][0] for j in range(n) if root[j] == root[k] and rows[j][0] is not None]
+        out.append((i, len(sets[k]), i if not len(sets[k]) else min(ids, default=None), sum(bool(same(k, j)) for j in range(n)) or 1, sum(linked(k, j) for j in range(n))))
+    return sorted(out, key=repr)
+
+
+def joined(frame, similarity):
+    return sorted(map(tuple, jaccard_join.join(frame, similarity).select("doc_id", "n_shingles", "component_id", "class_size", "n_links").collect()), key=repr)
+
+
+def test_join(docs, none):
+    assert joined(docs, jaccard_join.OP4) == brute_join(edge_rows(), jaccard_join.OP4)
     assert jaccard_join.join(none, jaccard_join.OP4).count() == 0
-    kept = jaccard_join.keep_one(docs)
-    assert kept.columns == docs.columns
+    assert jaccard_join.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("num", [85, 70])
+def test_join_by_every_route(spark, monkeypatch, num):
+    """Dense groups, chains whose ends share nothing, copies; groups split into chunks, blocks by path, stars on tables."""
+    rng, rows = random.Random(9), []
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    for _ in range(3):  # near copies of one text
+        base = [word() for _ in range(60)]
+        for _ in range(20):
+            own = list(base)
+            own[rng.randrange(60)] = word()
+            rows += [" ".join(own)] * rng.choice([1, 1, 3])
+    stream = [word() for _ in range(3500)]
+    rows += [" ".join(stream[k : k + 100]) for k in range(0, 3400, 7)]  # a chain
+    rows += [" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(30)]
+    rows = list(enumerate(rows))
+    frame, similarity = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), jaccard_join.Similarity(4, num, 100)
+    want, seen, real = brute_join(rows, similarity), [], jaccard_join.in_blocks
+    monkeypatch.setattr(jaccard_join, "in_blocks", lambda texts, where, *a: seen.append(sorted({(r.whole, r.n > jaccard_join.CHUNK) for r in where.collect()})) or real(texts, where, *a))
+    for chunk, few in ((4096, 1 << 18), (8, 0), (3, 1 << 18)):
+        monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+        monkeypatch.setattr(jaccard_join, "FEW_EDGES", few)
+        assert joined(frame, similarity) == want
+    assert seen[0] == [(True, False)] and (True, True) in seen[1] and {w for w, _ in seen[2]} == {False, True} and (False, True) in seen[2]
+
+
+def test_keep_one(spark, docs):
+    """Of each component the smallest doc_id, of its equal rows the least; rows without words stay, repeated ones too."""
+    clash = docs.withColumnsRenamed({"key": "text_hash", "h": "no_id", "lang": "doc", "source": "row"})
+    kept = jaccard_join.keep_one(clash)
+    found = brute_join(edge_rows(), jaccard_join.Similarity())
+    assert kept.columns == clash.columns
+    got = [r.doc_id for r in kept.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, sorted({c for i, n, c, *_ in found if n and c is not None}) + [i for i, n, *_ in found if not n]))
+    rows = spark.createDataFrame([(1, "a b c", "z", 2), (1, "a b c", "y", 9), (None, "a b c", "a", 0), (2, "", "p", 0), (2, "", "p", 0)], "doc_id long, text string, doc string, n long")
+    assert sorted(map(tuple, jaccard_join.keep_one(rows).collect())) == [(1, "a b c", "y", 9), (2, "", "p", 0), (2, "", "p", 0)]
 
 
 # 5

@@ -9,17 +9,18 @@ walks it once, level by level: sets that share a prefix share the overlap counte
 so far, and a subtree is left as soon as the elements that remain cannot make up
 the overlap needed. All links are exact.
 
-Copies (equal sets) are one class. Blocks that hang together and are small
-enough are one block, to which each class is sent once; in large ones, blocks
-whose classes are joined or compared by then are left out. A block with more than CHUNK classes is split into
-chunks, and each pair of chunks is a task of its own. A block returns the classes' components rather than all pairs; the
-components of all blocks are joined by alternating stars.
+Copies (equal sets) are one class. Blocks that hang together are one block, to
+which each class is sent once, where that needs fewer comparisons. A block with
+more than CHUNK classes is split into chunks, and each pair of chunks is a task
+of its own: links are counted, so the work in a block grows with its pairs, but
+no pair leaves it. A block returns its classes' components and numbers of links;
+the components of all blocks are joined by alternating stars.
 
 Nothing is capped: the list of frequent elements has FREQUENT entries at most,
 but only sets the order, on which results do not depend. Null texts and texts
 without words have an empty set, link with nothing and keep their own id as
 component. A component's id is its smallest doc_id that is not null. Repeated
-rows get a row each. Hashes are taken as equal only for equal n-grams; at 2^64
+rows get a row each. Texts of any length are read whole. Empty tables give no rows. Hashes are taken as equal only for equal n-grams; at 2^64
 values, a collision is possible and not expected.
 """
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import pieces, text_of
+from veristrata.llm.common import IDENTITY, SPACE, identity, packed, pieces, text_of, unpacked
 from veristrata.session import cut, table
 
 FREQUENT = 1 << 16
@@ -42,14 +43,10 @@ FREQUENT_LEAST = 16
 CHUNK = 4096
 #: Elements in a node of the prefix tree's first level; the next levels' nodes hold twice as many each.
 FIRST_WIDTH = 16
-#: Rounds in which a class is sent to one block.
-ROUNDS = 1
 #: Edges, of 16 bytes, that one task may finish.
 FEW_EDGES = 1 << 18
 #: Bytes of text that are hashed at a time.
 PIECE = 1 << 19
-#: Groups of classes up to this size are one block, in one task; larger blocks are not preferred in a round.
-LARGE = CHUNK
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xFF51AFD7ED558CCD))
 
 
@@ -212,8 +209,8 @@ class Trie:
             nodes = level["node"][which]
             np.subtract.at(level["live"], nodes[nodes >= 0], 1)
 
-    def probe(self, which: int) -> list[int]:
-        """Takes the sets that link with this one out of the tree."""
+    def probe(self, which: int) -> np.ndarray:
+        """The sets in the tree that link with this one."""
         own, size, s = self.sets[which], len(self.sets[which]), self.similarity
         largest, smallest = size * s.den // s.num, -(-size * s.num // s.den)
         self.has[own] = 1
@@ -239,29 +236,39 @@ class Trie:
             alive[at[~fits]] = False
             above = overlap
         self.has[own] = 0
-        if not found:
-            return []
-        linked = np.concatenate(found)
-        self.take(linked)
-        return linked.tolist()
+        return np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
+
+
+def block_links(sets: list[np.ndarray], similarity: Similarity, first: int | None = None, counts=lambda i, found: found) -> tuple[list[int], list[np.ndarray]]:
+    """For each set, the first of its component, and the sets that it links with and that come after it in the order of probes.
+
+    Each set probes the prefix tree once and is then taken out, so a pair is met once. With `first`, only pairs
+    of one of the first so many sets and one of the others are looked at. `counts` says which pairs count as links here.
+    """
+    trie, root, linked = Trie(sets, similarity), list(range(len(sets))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    if first is not None:
+        trie.take(np.arange(first))
+    for i in range(len(sets) if first is None else first):
+        if first is None:
+            trie.take([i])
+        found = trie.probe(i)
+        for j in found.tolist():
+            x, y = find(i), find(j)
+            root[max(x, y)] = min(x, y)
+        linked.append(counts(i, found))
+    return [find(i) for i in range(len(sets))], linked
 
 
 def block_components(sets: list[np.ndarray], similarity: Similarity) -> list[int]:
-    """For each set, the first of its component; a probe of the prefix tree for each set."""
-    trie, root = Trie(sets, similarity), list(range(len(sets)))
-    for seed in range(len(sets)):
-        if not trie.left[seed]:
-            continue
-        trie.take([seed])
-        group, queue = [seed], [seed]
-        while queue:
-            found = trie.probe(queue.pop())
-            group += found
-            queue += found
-        least = min(group)
-        for i in group:
-            root[i] = least
-    return root
+    """For each set, the first of its component."""
+    return block_links(sets, similarity)[0]
 
 
 def classes(docs: DataFrame, similarity: Similarity) -> DataFrame:
@@ -302,15 +309,21 @@ def classes(docs: DataFrame, similarity: Similarity) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, n long, key long, h long")
 
 
+def paths(s: np.ndarray, similarity: Similarity, frequent: np.ndarray) -> np.ndarray:
+    """The pairs of neighbouring elements of the set's prefix, as hashes."""
+    first = ordered(s, frequent)[: similarity.prefix(len(s))]
+    return ((first[:-1] * _MIX[4]) ^ (first[1:] * _MIX[2] + _MIX[1])).view(np.int64)
+
+
 def prefixes(docs: DataFrame, similarity: Similarity, frequent: np.ndarray) -> DataFrame:
-    """h, key, size: the pairs of neighbouring elements (as a hash) by which classes can meet."""
+    """h, key, size: the paths by which classes can meet."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
-                h, keys, sizes = [np.zeros(0, np.uint64)], [], []
+                h, keys, sizes = [np.zeros(0, np.int64)], [], []
                 for s in shingle_sets([t.as_buffer().to_pybytes() for t in part.column(0)], similarity.shingle):
                     key = set_key(s) if len(s) else None
                     if key is None or key in seen:
@@ -318,12 +331,11 @@ def prefixes(docs: DataFrame, similarity: Similarity, frequent: np.ndarray) -> D
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(key)
-                    first = ordered(s, shared.value)[: similarity.prefix(len(s))]
-                    h.append((first[:-1] * _MIX[4]) ^ (first[1:] * _MIX[2] + _MIX[1]))
+                    h.append(paths(s, similarity, shared.value))
                     keys.append(key)
                     sizes.append(len(s))
                 counts = [len(x) for x in h[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["h", "key", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.repeat(np.array(keys, np.int64), counts)), pa.array(np.repeat(np.array(sizes, np.int32), counts))], names=["h", "key", "size"])
 
     return docs.select(text_of().cast("binary").alias("text")).mapInArrow(run, "h long, key long, size int")
 
@@ -343,82 +355,87 @@ def blocks(pairs: DataFrame, similarity: Similarity) -> DataFrame:
 
 
 def candidates(docs: DataFrame, known: DataFrame, met: DataFrame) -> DataFrame:
-    """key, text: a document for each class that meets another. known: classes' documents; met: as of blocks()."""
-    first = known.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).join(met.select("key").distinct(), "key")
-    first = first.select("key", F.coalesce("first.doc_id", F.lit(-1)).alias("doc"), F.col("first.doc_id").isNull().alias("no_id"), F.col("first.text_hash").alias("text_hash"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64(text_of()).alias("text_hash"), text_of().cast("binary").alias("text"))
-    return cut(texts.join(first, ["doc", "no_id", "text_hash"]).select("key", "text"))
-
-
-def links(docs: DataFrame, known: DataFrame, met: DataFrame, similarity: Similarity) -> DataFrame:
-    """a, b: edges that join the classes of each component. met: as of blocks().
-
-    Classes that meet, directly or through others, form a group. A group of
-    LARGE classes at most is one block, and each class is sent once. In larger
-    groups, each class first goes to one of its paths' blocks, the largest
-    that is not too large; so near copies join there. Then it goes to all of
-    its blocks but those whose classes were all in one block, or are in one
-    component by now.
+    """key, size, text: a document for each class that meets another, and how many documents the class has. known: classes' documents; met: as of blocks()."""
+    first = known.groupBy("key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("size")).join(met.select("key").distinct(), "key")
+    first = first.select("key", "size", F.coalesce("first.doc_id", F.lit(-1)).alias("doc"), F.col("first.doc_id").isNull().alias("no_id"), F.col("first.text_hash").alias("text_hash"))
+    texts = docs.select(*[v.alias(k) for k, v in identity().items()], text_of().cast("binary").alias("text"))
+    return cut(texts.join(first, IDENTITY).select("key", "size", "text"))
+
+
+def links(docs: DataFrame, known: DataFrame, met: DataFrame, similarity: Similarity, frequent: np.ndarray) -> DataFrame:
+    """key, root, linked: a row for each class and block: the first class of its component there, and with how many documents of other classes it links, if they are counted there. met: as of blocks().
+
+    Classes that meet, directly or through others, form a group. Either the
+    group is one block, and each class is sent once, or each path is a block:
+    whichever has fewer pairs to compare. A pair that meets at several paths
+    counts at the least of them, so each link is counted once.
     """
-    texts, by_h, edges = candidates(docs, known, met), Window.partitionBy("h"), None
+    texts, by_h = candidates(docs, known, met), Window.partitionBy("h")
     groups = components(met.withColumn("a", F.min("key").over(by_h)).select("a", F.col("key").alias("b")))
-    groups = cut(met.select("key").distinct().join(groups.select(F.col("b").alias("key"), F.col("a").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key")))
-    large = cut(groups.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE))
-    small = groups.join(large, "root", "left_anti").select(F.col("root").alias("block"), "key", F.lit(1).alias("n"))  # not split
-    small = in_blocks(texts, small, similarity)
-    if large.isEmpty():
-        return small
-    met = cut(met.join(groups.join(large.select("root"), "root").select("key"), "key"))
-    for _ in range(ROUNDS):
-        best = cut(met.groupBy("key").agg(F.max(F.struct((F.col("n") <= LARGE).alias("fits"), "n", "h")).alias("best")).select("key", F.col("best.h").alias("block")))
-        sizes = best.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1")
-        new = in_blocks(texts, best.join(sizes, "block"), similarity)
-        stars = components(new if edges is None else new.union(edges))
-        stars = stars.select(F.col("b").alias("key"), F.col("a").alias("root"))
-        rows = met.join(best, "key").join(stars, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        rows = rows.withColumns({f"{f}_{c}": getattr(F, f)(c).over(by_h) for f in ("min", "max") for c in ("block", "root")})
-        met = cut(rows.filter("min_block != max_block and min_root != max_root").select("h", "key", "n"))
-        edges = stars.select(F.col("root").alias("a"), F.col("key").alias("b"))
-    return small.union(edges).union(in_blocks(texts, met.withColumnRenamed("h", "block"), similarity))
-
-
-def in_blocks(texts: DataFrame, where: DataFrame, similarity: Similarity) -> DataFrame:
-    """a, b: for each block and class, the first class of its component there. where: block, key, n (classes in the block)."""
+    roots = met.select("key").distinct().join(groups.select(F.col("b").alias("key"), F.col("a").alias("group")), "key", "left").select("key", F.coalesce("group", "key").alias("group"))
+    roots = cut(roots)
+    own = roots.groupBy("group").agg(F.count("*").alias("n"))
+    dense = met.join(roots, "key").groupBy("group").agg(F.sum("n").alias("pairs"))  # a class of a block of n meets n of them
+    groups = cut(own.join(dense, "group").withColumn("whole", (F.col("n") <= CHUNK) | (F.col("n") * F.col("n") <= F.col("pairs"))).select("group", "n", "whole"))
+    kept = roots.join(groups, "group")
+    whole = kept.filter("whole").select(F.col("group").alias("block"), "key", "n", F.lit(True).alias("whole"))
+    rest = met.join(kept.filter("not whole").select("key"), "key").select(F.col("h").alias("block"), "key", "n", F.lit(False).alias("whole"))
+    return in_blocks(texts, whole.unionByName(rest), similarity, frequent)
+
+
+def in_blocks(texts: DataFrame, where: DataFrame, similarity: Similarity, frequent: np.ndarray) -> DataFrame:
+    """key, root, linked, as of links(). where: block, key, n (classes in the block), whole (whether the block is a group)."""
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = where.withColumn("parts", F.expr(f"cast((n + {CHUNK - 1}) div {CHUNK} as int)")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    sent = sent.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = texts.join(sent, "key").select("block", "i", "j", "key", "text")
+    sent = sent.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", "block", "whole", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = texts.join(sent, "key").select("block", "whole", "i", "j", "own", "key", "size", "text")
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks one after the other, as the rows are sorted; one block is held at a time."""
-        held, sets, a, b = None, {}, [], []
+        """Blocks one after the other, as the rows are sorted; one block (of 2 CHUNK classes, about) is held at a time."""
+        held, sets, out = None, [], []
 
         def solve():
-            keys = sorted(sets)
-            root = block_components([sets[k] for k in keys], similarity)
-            for i, r in enumerate(root):
-                if r != i:
-                    a.append(keys[r])
-                    b.append(keys[i])
+            block, whole, i, j = held
+            keys, sizes = [x[1] for x in sets], np.array([x[2] for x in sets], dtype=np.int64)
+            first = None if i == j else sum(x[0] == i for x in sets)
+            own = None if whole else [np.sort(paths(x[3], similarity, shared.value)) for x in sets]
+
+            def least_here(a: int, found: np.ndarray) -> np.ndarray:
+                return np.array([b for b in found.tolist() if np.intersect1d(own[a], own[b])[0] == block], dtype=np.int64)
+
+            if first == 0 or first == len(sets):
+                return
+            root, linked = block_links([x[3] for x in sets], similarity, first, (lambda a, found: found) if whole else least_here)
+            n = np.zeros(len(sets), dtype=np.int64)
+            for a, found in enumerate(linked):
+                n[a] += sizes[found].sum()
+                n[found] += sizes[a]
+            out.extend((keys[a], keys[r], int(c)) for a, (r, c) in enumerate(zip(root, n.tolist(), strict=True)) if c or r != a)
+
+        def flush():
+            columns = list(zip(*out, strict=True)) or [[], [], []]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "root", "linked"])
 
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 found = shingle_sets([t.as_buffer().to_pybytes() for t in part.column("text")], similarity.shingle)
-                for block, key, s in zip(zip(*(part.column(c).to_pylist() for c in ("block", "i", "j")), strict=True), part.column("key").to_pylist(), found, strict=True):
+                columns = [part.column(c).to_pylist() for c in ("block", "whole", "i", "j", "own", "key", "size")]
+                for *block, side, key, size, s in zip(*columns, found, strict=True):
                     if block != held:
                         if len(sets) > 1:
                             solve()
-                        held, sets = block, {}
-                    sets[key] = s
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            a.clear()
-            b.clear()
+                        held, sets = block, []
+                    if not sets or sets[-1][:2] != (side, key):  # a repeated row's text comes twice
+                        sets.append((side, key, size, s))
+            yield flush()
         if len(sets) > 1:
             solve()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        yield flush()
 
     to = ["block", "i", "j"]
-    return rows.repartition(partitions, *to).sortWithinPartitions(*to, "key").mapInArrow(run, "a long, b long")
+    return rows.repartition(partitions, *to).sortWithinPartitions("block", "whole", "i", "j", "own", "key").mapInArrow(run, "key long, root long, linked long")
 
 
 def stars_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,39 +482,51 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, text_hash, n, key), and the root (smallest key) of each class's component."""
+    """Documents (doc_id, text_hash, n, key); and key, root (smallest key of the class's component), linked (documents of other classes that link with the class)."""
     both = cut(classes(docs, similarity))
     known = both.filter("h is null").drop("h")
     often = both.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()  # FREQUENT numbers
     frequent = np.sort(np.array([r["h"] for r in often], dtype=np.int64).view(np.uint64))
     met = blocks(prefixes(docs, similarity, frequent), similarity)
-    stars = components(links(docs, known, met, similarity))
+    found = cut(links(docs, known, met, similarity, frequent))
+    stars = components(found.select(F.col("root").alias("a"), F.col("key").alias("b")))
     keys = known.filter("key is not null").select("key").distinct()
     roots = keys.join(stars.select(F.col("b").alias("key"), F.col("a").alias("root")), "key", "left")
-    return known, roots.select("key", F.coalesce("root", "key").alias("root"))
+    roots = roots.join(found.groupBy("key").agg(F.sum("linked").alias("linked")), "key", "left")
+    return known, roots.select("key", F.coalesce("root", "key").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
 
 
 def join(docs: DataFrame, similarity: Similarity) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_size: a row for each row of docs."""
+    """doc_id, n_shingles, component_id, class_size, n_links: a row for each row of docs.
+
+    class_size counts the rows with an equal set; n_links the other rows that the row links with, copies included.
+    """
     known, roots = grouped(docs, similarity)
     sizes = known.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
-    named = roots.join(sizes, "key")
+    named = cut(roots.join(sizes, "key"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(named.join(least, "root").select("key", "component_id", "class_size"))
+    named = cut(named.join(least, "root").select("key", "component_id", "class_size", (F.col("class_size") - 1 + F.col("linked")).alias("n_links")))
     rows = known.withColumn("side", F.coalesce("key", F.xxhash64("doc_id", "text_hash")))  # null keys are spread
     rows = rows.join(named.withColumnRenamed("key", "found"), F.col("side") == F.col("found"), "left")
     empty = F.col("key").isNull()
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+    one = lambda c, none: F.when(empty, F.lit(none)).otherwise(F.col(c)).cast("long").alias(c)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), one("class_size", 1), one("n_links", 0))
 
 
 def keep_one(docs: DataFrame, similarity: Similarity | None = None) -> DataFrame:
-    """docs with one document of each component (the smallest doc_id), and all without words; columns as they are."""
+    """docs with one row of each component, and all rows without words; columns as they are.
+
+    The row of the smallest doc_id stays (a null one only if there is no other); of rows with equal doc_id and
+    text, the least by the other columns, in their order.
+    """
     known, roots = grouped(docs, similarity or Similarity())
-    first = known.join(roots, "key").groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
-    kept = first.select("one.doc_id", "one.text_hash").union(known.filter("key is null").select("doc_id", "text_hash").distinct())
-    kept = kept.select(F.coalesce("doc_id", F.lit(-1)).alias("_doc"), F.col("doc_id").isNull().alias("_no"), F.col("text_hash").alias("_hash"))
-    rows = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_no": F.col("doc_id").isNull(), "_hash": F.xxhash64(text_of())})
-    return rows.join(kept, ["_doc", "_no", "_hash"], "left_semi").dropDuplicates(["_doc", "_no", "_hash"]).select(*docs.columns)
+    first = known.join(roots, "key").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one"))
+    kept = first.select(F.coalesce("one.doc_id", F.lit(-1)).alias("doc"), "one.no_id", "one.text_hash")
+    worded = text_of().rlike(f"[^{SPACE}]")
+    rows = packed(docs.filter(worded), **identity()).join(kept, IDENTITY, "left_semi")
+    order = F.struct(*[F.col("row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = rows.groupBy(*IDENTITY).agg(F.min_by("row", order).alias("row"))
+    return unpacked(one, docs.columns).union(docs.filter(~worded))
 
 
 OP4 = Similarity(shingle=4, num=85, den=100)
@@ -522,7 +551,7 @@ u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x),
 k AS (SELECT doc_id, md5(coalesce(array_to_string(list(g ORDER BY g), chr(10)), '')) AS h FROM s GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, (SELECT min(y) FROM r WHERE r.x = d.doc_id) AS component_id,
-       coalesce(count(*) FILTER (k.h IS NOT NULL) OVER (PARTITION BY coalesce(k.h, CAST(d.doc_id AS VARCHAR))), 1) AS class_size
+       coalesce(count(*) FILTER (k.h IS NOT NULL) OVER (PARTITION BY coalesce(k.h, CAST(d.doc_id AS VARCHAR))), 1) AS class_size, (SELECT count(*) FROM u WHERE u.x = d.doc_id) AS n_links
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 }
