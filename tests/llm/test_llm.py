@@ -291,6 +291,41 @@ def test_quality(spark, docs, none):
     assert quality_qda.classify(docs, labels.limit(0)).filter("score != 0.5").count() == 0
     assert quality_qda.classify(docs, labels).count() == docs.count() and quality_qda.classify(none, labels).count() == 0
     assert quality_qda.keep_good(rows, labels).count() == 60
+    clash = docs.withColumnsRenamed({"key": "text_", "h": "_text", "lang": "x"})
+    assert sorted(map(repr, quality_qda.keep_good(clash, labels).collect())) == sorted(map(repr, clash.collect()))  # without labels all stay
+
+
+def test_quality_against_a_direct_fit(spark):
+    """The densities of plainly estimated classes, with the same shrinkage, solved without factors."""
+    table_ = lambda n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet")
+    docs, labels = table_("documents").select("doc_id", "text"), table_("labels")
+    texts, quality = {r.doc_id: (r.text or "").encode() for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    ids = sorted(i for i in quality if i in texts and zlib.crc32(str(i).encode()) % 5 != 0)
+    x, y = quality_qda.statistics([texts[i] for i in ids]), np.array([quality[i] for i in ids])
+    cov = [np.cov(x[y == k].T, bias=True) for k in (0, 1)]
+    pooled = sum((y == k).mean() * cov[k] for k in (0, 1))
+    logs = []
+    every = sorted(texts)
+    z = quality_qda.statistics([texts[i] for i in every])
+    for k in (0, 1):
+        own = (1 - quality_qda.DIAGONAL) * ((1 - quality_qda.POOL) * cov[k] + quality_qda.POOL * pooled) + quality_qda.DIAGONAL * np.diag(np.diag(pooled)) + quality_qda.RIDGE * np.eye(len(pooled))
+        d = z - x[y == k].mean(axis=0)
+        logs.append(np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * np.einsum("ij,ji->i", d, np.linalg.solve(own, d.T)))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+    got = {r.doc_id: (r.held_out, r.score, r.predicted) for r in quality_qda.op6(spark, "/root/testdata/sf0.001").collect()}
+    assert np.allclose([got[i][1] for i in every], want, atol=1e-6)
+    assert all(got[i][0] == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i][2] == (got[i][1] >= 0.3) for i in every)
+    held = [i for i in every if got[i][0] and i in quality]
+    assert sum(got[i][2] == quality[i] for i in held) >= 0.85 * len(held)  # of a table of 200 rows
+
+
+def test_quality_statistics():
+    """Each statistic of a small text by hand."""
+    row = dict(zip(quality_qda.FEATURES, quality_qda.statistics([b"Ab 1! ab ab\n|ab\n|ab"])[0], strict=True))
+    n = 19
+    want = {"log_bytes": np.log1p(n), "log_words": np.log1p(6), "word_bytes": np.log1p(14 / 6), "upper": np.sqrt(1 / n), "digit": np.sqrt(1 / n), "symbol": 0, "punctuation": 0, "marks": np.sqrt(1 / n), "pipes": np.sqrt(2 / n), "space": 5 / n}
+    assert all(abs(row[k] - v) < 1e-9 for k, v in want.items())
+    assert abs(row["line_repeats"] - np.sqrt(1 / 3)) < 1e-9 and abs(row["word_pair_repeats"] - np.sqrt(2 / 5)) < 1e-9 and not quality_qda.statistics([b""]).any()
 
 
 # 7
@@ -363,6 +398,11 @@ def test_language(spark, docs, none):
     assert sum(held[i] == k for i, _, k in rows[90:]) >= 29
     und = {r.doc_id for r in language_cnn.predict(docs, net).filter("lang_pred = 'und'").collect()}
     assert und == {3, 4, None, 9, 11}
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(["½ ² ①", "½ x", "٣", "字", "_", "ª", "é"])], "doc_id long, text string")
+    assert {r.doc_id for r in language_cnn.predict(odd, net).filter("lang_pred = 'und'").collect()} == {0, 2, 4}
+    assert language_cnn.predict(none, net).count() == 0
+    long = spark.createDataFrame([(1, rows[0][1] * 400), (1, rows[0][1] * 400)], "doc_id long, text string")  # more windows than are scored at a time
+    assert [r.lang_pred for r in language_cnn.predict(long, net).collect()] == ["aa", "aa"]
     assert language_cnn.train(none) is None and language_cnn.predict(docs, None).filter("lang_pred != 'und'").count() == 0
     # The tables give what the convolutions give.
     x = np.frombuffer(rows[0][1].encode()[:256].ljust(256, b"\0"), dtype=np.uint8)[None]
@@ -472,5 +512,57 @@ def test_pii():
     assert [t[a:b] for k in ("iban", "login", "street") for a, b in found[k]] == ["DE89 3704 0044 0532 0130 00", "ftp://me:secret@host.example/x", "12 Long Hill Street"]
 
 
+def brute_added(t):
+    """The added kinds at every place, without anchors."""
+    out = {"iban": [], "login": [], "street": []}
+    for m in re.finditer(r"(?:IBAN|Iban|iban)", t):
+        a = re.compile(r"[ :]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})").match(t, m.end())
+        if not a or out["iban"] and m.start() < out["iban"][-1][1]:
+            continue
+        for end in range(a.end(), a.start(1), -1):  # the longest valid account
+            s = t[a.start(1) : end]
+            if re.fullmatch(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", s) and pii_scan.mod97(s.replace(" ", "")):
+                out["iban"].append((a.start(1), end))
+                break
+    out["login"] = [m.span() for m in re.finditer(r"[A-Za-z]+://[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+[^\s]*", t)]
+    return out
+
+
+def test_pii_added_kinds():
+    rng, anchors = random.Random(12), pii_scan.automaton()
+
+    def account(n):
+        body, country = "".join(rng.choice("0123456789ABC") for _ in range(n)), "DE"
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        return f"{country}{check:02d}{body}"
+
+    parts = [lambda: "IBAN: " + account(rng.randint(11, 20)), lambda: "iban " + account(18)[:-1] + "9 ", lambda: "ftp://u:p@h.ex/x", lambda: "see http://host/a:b@c", lambda: "https://me:pw@", lambda: "IBAN DE00", lambda: "éé"]
+    seen = 0
+    for _ in range(400):
+        t = " , ".join(rng.choice(parts)() for _ in range(rng.randint(1, 6)))
+        found, want = pii_scan.find(t, anchors), brute_added(t)
+        assert {k: found[k] for k in ("iban", "login")} == {k: want[k] for k in ("iban", "login")}, t
+        seen += bool(want["iban"]) + bool(want["login"])
+    assert seen > 200
+    for t, want in (("12 Long Hill Street", ["12 Long Hill Street"]), ("at 7b Elm Road, or 9 Oak Avenue.", ["7b Elm Road", "9 Oak Avenue"]), ("Elm Street", []), ("1234567 x Street", ["34567 x Street"]), ("5 a b c d e Street", [])):
+        assert [t[a:b] for a, b in pii_scan.find(t, anchors)["street"]] == want, t
+
+
+def test_pii_query(spark):
+    """The digest columns from plain patterns, over a whole table."""
+    p = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in pii_scan.op10(spark, sf).collect():
+        spans = []
+        for kind, q in p.items():
+            for m in re.finditer(q, texts[r.doc_id]):
+                digits = re.sub("[^0-9]", "", m.group())
+                if {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m.group().split(".")), "card": 16 <= len(digits) <= 19 and pii_scan.luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]:
+                    spans.append(f"{kind}:{m.start()}:{m.end()}")
+        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest() and r.spans.startswith(",".join(spans))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in spans) for k in p] and r.n_spans == len([s for s in r.spans.split(",") if s])
+
+
 def test_pii_edges(docs, none):
     assert pii_scan.scan(docs).count() == docs.count() and pii_scan.scan(none).count() == 0

@@ -2,14 +2,19 @@
 
 Bytes are embedded; filters of widths 2, 3 and 4 run over windows of 256 bytes,
 are rectified and max-pooled; a softmax gives the languages. Training is Adam
-in numpy on the driver, over one window of each row of a bounded sample: about
-SAMPLE rows of each language (all, where it has fewer), taken by a hash of the
-row. Inference covers whole texts in windows that overlap by three bytes, and
+in numpy on the driver, over a bounded sample: about SAMPLE rows of each language
+(all, where it has fewer), taken by a hash of the row, and of each row one window,
+at a place that a hash of its id gives; the rest of a row's text does not train.
+The softmax has a column for each language, so there are as many as a driver may
+hold windows of. Inference covers whole texts in windows that overlap by three bytes, and
 averages the windows' log-probabilities; there, embedding and filters become
 tables by byte pair, so that a position costs two lookups.
 
-Null texts and texts without a letter are `und` with score 0. Without any
-labelled row, every text is `und`. Repeated rows get a row each.
+Null texts and texts without a letter (of any script; digits, fractions and
+circled numbers are none) are `und` with score 0. Without any labelled row, every
+text is `und`. Of languages with equal scores the first by name is taken.
+Repeated rows get a row each. Empty tables give no rows. Texts of any length are
+read whole. Columns beyond doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +39,6 @@ FILTERS = 8
 DEPTH = 8
 EPOCHS = 6
 STRIDE = WINDOW - max(WIDTHS) + 1
-LETTER = re.compile(r"[^\W\d_]")
 ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
@@ -176,20 +180,17 @@ class Scorer:
 
 
 def has_letter(text: bytes) -> bool:
-    return bool(ASCII_LETTER.search(text)) or bool(LETTER.search(text.decode("utf-8", "replace")))
+    return bool(ASCII_LETTER.search(text)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
 
 
 def train(docs: DataFrame) -> Network | None:
     """docs: doc_id, text, lang of the rows to learn from."""
     usable = docs.filter("text is not null and lang is not null")
-    sizes = usable.groupBy("lang").count().collect()  # a row for each language
+    share = usable.groupBy("lang").agg((F.lit(SAMPLE) / F.count("*")).alias("share")).withColumnRenamed("lang", "of")
     h = F.xxhash64("doc_id", F.length("text"), F.lit(17))
-    wanted = F.lit(False)
-    for row in sizes:
-        share = min(1.0, SAMPLE / row["count"])
-        wanted = wanted | ((F.col("lang") == row["lang"]) & (F.pmod(h, F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    taken = usable.join(F.broadcast(share.filter("share < 1")), F.col("lang") == F.col("of"), "left")  # the softmax bounds the languages
     start = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1
-    rows = usable.filter(wanted).select("lang", F.expr("text").substr(start.cast("int"), F.lit(WINDOW)).alias("text"), h.alias("h")).collect()  # SAMPLE windows a language
+    rows = taken.filter(F.pmod(h, F.lit(1 << 20)) / F.lit(1 << 20) < F.coalesce("share", F.lit(1.0))).select("lang", F.expr("text").substr(start.cast("int"), F.lit(WINDOW)).alias("text"), h.alias("h")).collect()  # SAMPLE windows a language
     samples = sorted(((r["h"], r["text"].encode()[:WINDOW], r["lang"]) for r in rows))
     return fit([(t, lang) for _, t, lang in samples if has_letter(t)])
 

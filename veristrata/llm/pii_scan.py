@@ -8,7 +8,9 @@ iban (ISO 13616 check digits), login (a URL that carries user and password) and
 street (house number, name and street word).
 
 Positions are code points, ends exclusive. Null and empty texts have no spans.
-Repeated rows get a row each; tied starts of different kinds are all kept.
+Repeated rows get a row each; tied starts of different kinds are all kept, in
+the order of kinds. Texts of any length are read whole. Empty tables give no
+rows. Columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -148,7 +150,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
     base = F.filter("spans", lambda s: s.kind.isin(*BASE))
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long) as n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 QUERIES = {"op10_pii_scan": op10}

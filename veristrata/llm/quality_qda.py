@@ -9,7 +9,9 @@ posterior probability of label 1 from the difference of the log-densities.
 
 Null and empty texts have the vector of an empty text, and a score as any
 other. Rows with a null doc_id have no label and are scored. Repeated doc_ids
-train once per (row, label) pair. Without labels of both classes, every score
+train once per (row, label) pair. Texts of any length are read whole; empty tables
+give no rows. `keep_good` keeps all columns, whatever their names, and scores
+equal texts alike. Without labels of both classes, every score
 is the share of label 1, or 0.5 if there is no label at all.
 """
 
@@ -174,16 +176,18 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     The vectors are read again from the texts, so no text is shuffled.
     """
     model = fit(features(docs), labels)
-    columns, d = docs.columns, len(FEATURES)
-    text = text_of().cast("binary")
+    d, own = len(FEATURES), "text_"
+    while own.lower() in {c.lower() for c in docs.columns}:
+        own += "_"
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "_text"):
-                x = statistics([t.as_buffer().to_pybytes() for t in part.column("_text")])
+            for part in pieces(batch, own):
+                x = statistics([t.as_buffer().to_pybytes() for t in part.column(own)])
                 yield part.select(columns).filter(pa.array(model.score(x.reshape(-1, d)) >= THRESHOLD))
 
-    return docs.select(*columns, text.alias("_text")).mapInArrow(run, docs.schema)
+    return docs.select("*", text_of().cast("binary").alias(own)).mapInArrow(run, docs.schema)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
