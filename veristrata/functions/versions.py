@@ -1,9 +1,11 @@
 """Version orders as array keys that Spark compares natively.
 
-Each ecosystem's parser turns a version into array<bigint-like strings>; here a
-key is array<string> of fixed-width parts, so `<` on arrays is the order. A
-version that does not parse has a null key, and a range test that reaches it is
-undecidable (2): unknown is never safe.
+A key is array<string> of parts whose text order is the parts' order, so `<` on
+arrays is the ecosystem's order: digits carry their length in front, and markers
+say whether a part is a number, a word or an end. A version that does not parse
+has a null key, and a range test that reaches it is undecidable (2): unknown is
+never safe. Keys are expressions, without Python; only Maven's order, which no
+flat key can give, compares pairs in an Arrow UDF (use it on distinct pairs).
 """
 
 from __future__ import annotations
@@ -14,159 +16,279 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 NOT_AFFECTED, AFFECTED, UNDECIDABLE = 0, 1, 2
-_INT = re.compile(r"[0-9]+$")
+STRINGS = "array<string>"
 
+#: The syntax of semantic versions: a number without leading zeros, and the identifiers of a pre-release.
+_N = r"(0|[1-9][0-9]*)"
+_PRE = r"(?:0|[1-9][0-9]*|[0-9]*[A-Za-z-][0-9A-Za-z-]*)"
+_SEMVER = rf"^{_N}(?:\.{_N}(?:\.{_N}(?:-({_PRE}(?:\.{_PRE})*))?(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?)?)?$"
+_STRICT = rf"^{_N}\.{_N}\.{_N}(?:-({_PRE}(?:\.{_PRE})*))?(?:\+[0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*)?$"
+#: Digits that fit the reference's integers; longer ones are undecidable.
+_INT = "[0-9]{1,18}"
 
-def _num(text: str) -> str:
+
+def _number(digits: Column) -> Column:
     """Digits of any length, in order as strings: their count first."""
-    digits = text.lstrip("0") or "0"
-    return f"{len(digits):06d}{digits}"
+    bare = F.regexp_replace(F.when(digits == "", "0").otherwise(digits), "^0+(?=.)", "")
+    return F.concat(F.lpad(F.length(bare).cast("string"), 6, "0"), bare)
 
 
-def _identifiers(text: str, fold: bool = False) -> list[str] | None:
-    """Dot-separated pre-release identifiers: numbers before words, and fewer before more."""
-    out = []
-    for part in text.split("."):
-        if not part or not re.fullmatch(r"[0-9A-Za-z-]+", part):
-            return None
-        out.append("1" + _num(part) if _INT.match(part) else "2" + (part.lower() if fold else part))
-    return out
+def _identifiers(text: Column) -> Column:
+    """Dot-separated identifiers: numbers before words, and fewer before more."""
+    return F.transform(F.split(text, r"\."), lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("1"), _number(p))).otherwise(F.concat(F.lit("2"), p)))
 
 
-def _semver(version: str, least: int, most: int, pad: int, fold: bool = False, build: bool = False) -> list[str] | None:
-    body, _, tail = version.partition("+")
-    core, dash, pre = body.partition("-")
-    parts = core.split(".")
-    if not least <= len(parts) <= most or not all(_INT.match(p) for p in parts):
-        return None
-    key = [_num(p) for p in parts[:pad]] + [_num("0")] * (pad - len(parts))
-    if dash:
-        identifiers = _identifiers(pre, fold)
-        if identifiers is None:
-            return None
-        key += ["0", *identifiers]
-    else:
-        key.append("9")
-    if build and tail:  # build metadata sorts after the same version without it
-        identifiers = _identifiers(tail)
-        if identifiers is None:
-            return None
-        key += ["00", *identifiers] if dash else ["9", *identifiers]
-    return key
+def _released(core: list[Column], pre: Column, has_pre: Column) -> Column:
+    tail = F.when(has_pre, F.concat(F.array(F.lit("0")), _identifiers(pre))).otherwise(F.array(F.lit("9")))
+    return F.concat(F.array(*core), tail)
 
 
-def _strip_v(version: str) -> str:
-    return version[1:] if version[:1] == "v" else version
+def _by(pattern: str, v: Column, group: int) -> Column:
+    return F.regexp_extract(v, pattern, group)
 
 
-def key_go(v: str) -> list[str] | None:
-    return _semver(_strip_v(v), 1, 3, 3)
+def _semver(pattern: str, v: Column) -> Column:
+    core = [_number(_by(pattern, v, k)) for k in (1, 2, 3)]
+    return F.when(v.rlike(pattern), _released(core, _by(pattern, v, 4), _by(pattern, v, 4) != ""))
 
 
-def key_npm(v: str) -> list[str] | None:
-    v = v.strip()
-    v = v[1:] if v[:1] in "vV" and v else v
-    return _semver(v, 3, 4, 3)
+def key_go(v: Column, bound: bool = False) -> Column:
+    """v may be missing; short forms without pre-release; build metadata does not count."""
+    return _semver(_SEMVER, F.regexp_replace(v, "^v", ""))
 
 
-def key_cargo(v: str) -> list[str] | None:
-    return _semver(_strip_v(v), 3, 3, 3)
+def key_cargo(v: Column, bound: bool = False) -> Column:
+    """Three parts, after one v; a bound may be short and has no v."""
+    return _semver(_SEMVER, v) if bound else _semver(_STRICT, F.regexp_replace(v, "^v", ""))
 
 
-def key_nuget(v: str) -> list[str] | None:
-    v = _strip_v(v.strip())
-    return None if "*" in v else _semver(v, 1, 4, 4, fold=True)
+def key_npm(v: Column, bound: bool = False) -> Column:
+    """Three parts, or four, of which the last does not count."""
+    bare = F.substring_index(F.regexp_replace(v, "^v?V?", ""), "+", 1)
+    pattern = rf"^({_INT})\.({_INT})\.({_INT})(?:\.[^.-]*)?(?:-(.*))?$"
+    core = [_number(_by(pattern, bare, k)) for k in (1, 2, 3)]
+    return F.when(bare.rlike(pattern), _released(core, _by(pattern, bare, 4), _by(pattern, bare, 4) != ""))
 
 
-def key_pub(v: str) -> list[str] | None:
-    return _semver(_strip_v(v), 3, 3, 3, build=True)
+def key_nuget(v: Column, bound: bool = False) -> Column:
+    """One to four numbers; identifiers without case, and without leading zeros if they are numbers; floating versions are undecidable."""
+    bare = F.lower(F.substring_index(F.regexp_replace(F.trim(v), "^[vV]", ""), "+", 1))
+    pattern = rf"^({_INT})(?:\.({_INT}))?(?:\.({_INT}))?(?:\.({_INT}))?(?:-((?:0|[1-9][0-9]{{0,17}}|[^.]*[^.0-9][^.]*)(?:\.(?:0|[1-9][0-9]{{0,17}}|[^.]*[^.0-9][^.]*))*))?$"
+    core = [_number(_by(pattern, bare, k)) for k in (1, 2, 3, 4)]
+    return F.when(bare.rlike(pattern) & ~F.contains(v, F.lit("*")), _released(core, _by(pattern, bare, 5), _by(pattern, bare, 5) != ""))
 
 
-_COMPOSER = re.compile(r"([0-9]+(?:\.[0-9]+){0,3})(?:-?(dev|alpha|a|beta|b|rc|patch|pl|p)\.?([0-9]+)?)?$", re.I)
-#: The stability tiers in their order.
-_TIERS = {"dev": 0, "alpha": 1, "a": 1, "beta": 2, "b": 2, "rc": 3, "": 4, "patch": 5, "pl": 5, "p": 5}
-
+def key_pub(v: Column, bound: bool = False) -> Column:
+    """Three numbers; build metadata sorts after the same version without it, and by its identifiers."""
+    bare = F.regexp_replace(v, "^v", "")
+    pattern = rf"^({_INT})\.({_INT})\.({_INT})(?:-([^+]*))?(?:\+(.*))?$"
+    core = [_number(_by(pattern, bare, k)) for k in (1, 2, 3)]
+    pre, build = _by(pattern, bare, 4), _by(pattern, bare, 5)
+    # A closing 0 ends the identifiers of a pre-release, before any further one.
+    tail = F.when(pre != "", F.concat(F.array(F.lit("0")), _identifiers(pre), F.array(F.lit("0")))).otherwise(F.array(F.lit("9")))
+    more = F.when(build != "", F.concat(F.array(F.lit("1")), _identifiers(build))).otherwise(F.array(F.lit("0")))
+    return F.when(bare.rlike(pattern), F.concat(F.array(*core), tail, more))
 
-def key_packagist(v: str) -> list[str] | None:
-    m = _COMPOSER.match(_strip_v(v.strip().lower()))
-    if not m or (m.group(2) or "").lower() == "dev" and m.group(3):
-        return None
-    parts = m.group(1).split(".")
-    return [_num(p) for p in parts] + [_num("0")] * (4 - len(parts)) + [str(_TIERS[(m.group(2) or "").lower()]), _num(m.group(3) or "0")]
 
+#: The stability tiers in their order.
+TIERS = {"dev": "0", "alpha": "1", "a": "1", "beta": "2", "b": "2", "rc": "3", "": "4", "patch": "5", "p": "5"}
+
+
+def key_packagist(v: Column, bound: bool = False) -> Column:
+    """One to four numbers, and a stability after a dash; branch aliases are undecidable."""
+    bare = F.lower(F.regexp_replace(F.trim(v), "^[vV]", ""))
+    pattern = rf"^({_INT})(?:\.({_INT}))?(?:\.({_INT}))?(?:\.({_INT}))?(?:-(dev|alpha|a|beta|b|rc|patch|p)\.?([0-9]{{0,18}}))?$"
+    tier, n = _by(pattern, bare, 5), _by(pattern, bare, 6)
+    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in TIERS.items() for x in pair]), tier), F.lit("4"))
+    alias = F.lower(F.trim(v)).rlike(r"^dev-|\.x-dev$")
+    fits = bare.rlike(pattern) & ~alias & ~((tier == "dev") & n.rlike("[1-9]"))
+    return F.when(fits, F.array(*[_number(_by(pattern, bare, k)) for k in (1, 2, 3, 4)], rank, _number(n)))
+
+
+#: The places of the kinds of versions of one release: development, those of alpha, beta and rc, alpha, beta, rc, final, post.
+_PEP = rf"^(?:({_INT})!)?({_INT}(?:\.{_INT})*)(?:\.?(a|alpha|b|beta|c|preview|rc)\.?({_INT}))?(?:\.post({_INT}))?(?:\.dev({_INT}))?$"
+_KINDS = {"a": 1, "alpha": 1, "b": 2, "beta": 2, "c": 3, "preview": 3, "rc": 3}
+
+
+def key_pypi(v: Column, bound: bool = False, published: bool = False) -> Column:
+    """Epoch, release, place, number, local. A development version of a pre-release sorts before all pre-releases, and its own number
+    does not count; a post part counts only where no other is. With `published`, the published order of all parts."""
+    whole = F.lower(F.regexp_replace(F.trim(v), "^[vV]", ""))
+    local, bare = F.regexp_extract(whole, r"^[^+]*\+(.*)$", 1), F.substring_index(whole, "+", 1)
+    bare = F.regexp_replace(F.regexp_replace(bare, rf"^([0-9]+(?:\.[0-9]+)*)-([0-9]+)$", "$1.post$2"), "[-_]", ".")
+    part = lambda k: _by(_PEP, bare, k)
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair]), part(3)), F.lit(0))
+    release = F.transform(F.split(F.regexp_replace(part(2), r"(\.0+)+$", ""), r"\."), lambda p: F.concat(F.lit("1"), _number(p)))
+    has_dev, has_pre, has_post = part(6) != "", part(3) != "", part(5) != ""
+    if published:
+        place = F.when(has_pre, kind.cast("string")).when(has_dev & ~has_post, "0").otherwise("4")
+        slot = [place, _number(part(4)), F.when(has_post, F.concat(F.lit("1"), _number(part(5)))).otherwise("0"), F.when(has_dev, F.concat(F.lit("0"), _number(part(6)))).otherwise("1")]
+    else:
+        place = F.when(has_dev, kind).when(has_pre, kind + 3).when(has_post, 8).otherwise(7)
+        slot = [place.cast("string"), F.when(has_dev, _number(part(6))).when(has_pre, _number(part(4))).when(has_post, _number(part(5))).otherwise(_number(F.lit("0")))]
+    own = F.when(local == "", "0").otherwise(F.concat(F.lit("1"), local))
+    return F.when(bare.rlike(_PEP), F.concat(F.array(_number(part(1))), release, F.array(F.lit("0"), *slot, own)))
 
-_PEP440 = re.compile(r"v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)(?:[._-]?(a|alpha|b|beta|c|rc|pre|preview)[._-]?([0-9]*))?(?:(?:[._-]?(post|rev|r)[._-]?([0-9]*))|-([0-9]+))?(?:[._-]?(dev)[._-]?([0-9]*))?(?:\+([a-z0-9._-]+))?$", re.I)
 
+def key_rubygems(v: Column, bound: bool = False) -> Column:
+    """Runs of digits and letters, without case; what is missing is 0, and a word sorts before any number.
 
-def key_pypi(v: str) -> list[str] | None:
-    """The published order: dev, then pre, final, post; local versions last."""
-    m = _PEP440.match(v.strip())
-    if not m:
-        return None
-    epoch, release, pre, pre_n, post, post_n, post_n2, dev, dev_n, local = m.groups()
-    parts = [_num(p) for p in release.split(".")]
-    while len(parts) > 1 and parts[-1] == _num("0"):
-        parts.pop()
-    phase = {"a": "1", "b": "2", "c": "3", "r": "3", "p": "3"}[pre[0].lower()] if pre else None
-    has_post = post is not None or post_n2 is not None
-    if phase:
-        slot = [phase, _num(pre_n or "0")]
-    elif dev and not has_post:
-        slot = ["0", _num("0")]
-    else:
-        slot = ["4", _num("0")]
-    slot += ["1" + _num(post_n or post_n2 or "0") if has_post else "0"]
-    slot += ["0" + _num(dev_n or "0") if dev else "1"]
-    slot += ["1" + local.lower()] if local else ["0"]
-    return [_num(epoch or "0"), *("1" + p for p in parts), "0", *slot]
+    A run of zeros is written at the part after it: a word after fewer zeros is less, a number after fewer is more,
+    and the end, where all that is missing is 0, lies between. Zeros before the first word do not count.
+    """
+    bare = F.lower(F.regexp_replace(F.trim(v), "^[vV]", ""))
+    bare = F.when(bare == "", "0").otherwise(bare)
+    runs = F.regexp_extract_all(bare, F.lit("([0-9]+|[a-z]+)"), F.lit(1))
+    zeros = lambda n: F.lpad(n.cast("string"), 6, "0")
+    start = F.expr("cast(struct(array() as key, 0 as zeros, false as word) as struct<key:array<string>,zeros:int,word:boolean>)")
 
+    def step(s: Column, run: Column) -> Column:
+        word, none = run.rlike("^[a-z]"), run.rlike("^0+$")
+        less = F.concat(F.lit("0"), zeros(F.when(s["word"], s["zeros"]).otherwise(0)), run)
+        more = F.concat(F.lit("2"), zeros(999999 - s["zeros"]), _number(run))
+        key = F.when(none, s["key"]).otherwise(F.concat(s["key"], F.array(F.when(word, less).otherwise(more))))
+        return F.struct(key.alias("key"), F.when(none, s["zeros"] + 1).otherwise(0).alias("zeros"), (s["word"] | word).alias("word"))
 
-def key_rubygems(v: str) -> list[str] | None:
-    """Digit and letter runs; a letter run sorts before the end, which sorts before a number."""
-    v = _strip_v(v.strip())
-    if not re.fullmatch(r"[0-9]+(\.[0-9a-zA-Z]+)*(-[0-9A-Za-z-]+(\.[0-9A-Za-z-]+)*)?", v):
-        return None
-    parts = re.findall(r"[0-9]+|[a-zA-Z]+", v.replace("-", ".pre."))
-    first = next((i for i, p in enumerate(parts) if p[0].isalpha()), len(parts))
-    number, tail = parts[:first], parts[first:]
-    for run in (number, tail):
-        while run and run[-1].isdigit() and int(run[-1]) == 0:
-            run.pop()
-    return ["2" + _num(p) if p.isdigit() else "0" + p for p in number + tail] + ["1"]
+    key = F.concat(F.aggregate(runs, start, step)["key"], F.array(F.lit("1")))
+    return F.when(bare.rlike(r"^[0-9][0-9a-z.-]*$") & ~bare.rlike("[0-9]{19}"), key)
 
 
-_REGISTRY: dict[str, Callable[[str], list[str] | None]] = {}
+_REGISTRY: dict[str, Callable[..., Column]] = {}
 
 
-def register_order(ecosystem: str, parse: Callable[[str], list[str] | None]) -> None:
-    if ecosystem in _REGISTRY:
+def register_order(ecosystem: str, key: Callable[..., Column]) -> None:
+    """key(version, bound=False) gives the sort key as an expression; a second order for an ecosystem is an error."""
+    if ecosystem in _REGISTRY or ecosystem == "Maven":
         raise ValueError(f"{ecosystem} has an order")
-    _REGISTRY[ecosystem] = parse
+    _REGISTRY[ecosystem] = key
 
 
-for _name, _parse in {"Go": key_go, "npm": key_npm, "crates.io": key_cargo, "PyPI": key_pypi, "NuGet": key_nuget, "Packagist": key_packagist, "RubyGems": key_rubygems, "Hex": key_cargo, "Pub": key_pub, "SwiftURL": key_cargo}.items():
-    register_order(_name, _parse)
+for _name, _key in {"Go": key_go, "npm": key_npm, "crates.io": key_cargo, "PyPI": key_pypi, "NuGet": key_nuget, "Packagist": key_packagist, "RubyGems": key_rubygems, "Hex": key_cargo, "Pub": key_pub, "SwiftURL": key_cargo}.items():
+    register_order(_name, _key)
 
 
-def version_key(ecosystem: Column, version: Column) -> Column:
-    """array<string> that sorts as the ecosystem's versions do; null if unparsable or unregistered. Use it on distinct versions."""
-    registry = dict(_REGISTRY)
-
-    @F.pandas_udf("array<string>")
-    def parse(e: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([registry[a](b) if a in registry and isinstance(b, str) else None for a, b in zip(e, v, strict=True)], dtype=object)
-
-    return parse(ecosystem, version)
+def version_key(ecosystem: Column, version: Column, bound: bool = False) -> Column:
+    """array<string> that sorts as the ecosystem's versions do; null if unparsable or without an order."""
+    out = F.lit(None).cast(STRINGS)
+    for name, key in _REGISTRY.items():
+        out = F.when(ecosystem == name, key(version, bound)).otherwise(out)
+    return out
 
 
 def dotted_key(version: Column) -> Column:
-    """Plain dotted integers, natively: array<bigint>, null if any part is not one."""
+    """Plain dotted integers: array<bigint>, null if any part is not one."""
     text = F.regexp_replace(version, "^v", "")
     return F.when(text.rlike(r"^[0-9]{1,18}(\.[0-9]{1,18})*$"), F.split(text, r"\.").cast("array<bigint>"))
 
 
+# --- Maven: nested lists, compared in pairs ---------------------------------
+
+#: Qualifiers in their order, and their other names.
+QUALIFIERS = {"alpha": -5, "beta": -4, "milestone": -3, "rc": -2, "snapshot": -1, "": 0, "sp": 1}
+SAME = {"ga": "", "final": "", "release": "", "cr": "rc"}
+SHORT = {"a": "alpha", "b": "beta", "m": "milestone"}
+_TOKEN = re.compile(r"([0-9]+)|([^0-9.-]+)|([.-])")
+
+
+def maven_items(version: str) -> list | None:
+    """The version as nested lists of numbers and qualifiers; null parts at the end of each list are dropped."""
+    text = version.strip()
+    text = (text[1:] if text[:1] == "v" else text).strip().lower()
+    if not text:
+        return None
+    root: list = []
+    here, after = root, "."  # what stands before the next token
+    tokens = [m.groups() for m in _TOKEN.finditer(text)]
+
+    def below(items: list) -> list:
+        items.append([])
+        return items[-1]
+
+    for i, (digits, word, mark) in enumerate(tokens):
+        if mark:
+            if after in ".-":  # two marks in a row, or one in front: an empty token
+                here.append(0)
+            if mark == "-":
+                here = below(here)
+            after = mark
+            continue
+        if after not in ".-":  # a change between digits and letters opens a list
+            here = below(here)
+        if digits:
+            if int(digits) >= 1 << 63:
+                return None
+            here.append(int(digits))
+        else:
+            if i + 1 < len(tokens) and tokens[i + 1][0]:
+                word = SHORT.get(word, word)
+            here.append(SAME.get(word, word))
+        after = "x"
+    _strip(root)
+    return root
+
+
+def _strip(items: list) -> None:
+    for x in items:
+        if isinstance(x, list):
+            _strip(x)
+    for i in range(len(items) - 1, -1, -1):
+        if items[i] in (0, "", []):
+            del items[i]
+        elif not isinstance(items[i], list):
+            return
+
+
+def _rank(x) -> tuple:
+    """Place among kinds: qualifiers, lists, numbers; and among the qualifiers."""
+    if isinstance(x, str):
+        return (0, QUALIFIERS.get(x, 2), x)
+    return (1,) if isinstance(x, list) else (2, x)
+
+
+def _against_nothing(x) -> int:
+    if isinstance(x, list):
+        return next((c for c in map(_against_nothing, x) if c), 0)
+    n = QUALIFIERS.get(x, 2) if isinstance(x, str) else x
+    return (n > 0) - (n < 0)
+
+
+def maven_order(a: list, b: list) -> int:
+    for i in range(max(len(a), len(b))):
+        if i >= len(a) or i >= len(b):
+            c = _against_nothing(a[i]) if i < len(a) else -_against_nothing(b[i])
+        elif isinstance(a[i], list) and isinstance(b[i], list):
+            c = maven_order(a[i], b[i])
+        else:
+            x, y = _rank(a[i]), _rank(b[i])
+            c = (x > y) - (x < y)
+        if c:
+            return c
+    return 0
+
+
+@F.pandas_udf(IntegerType())
+def maven_compare(a: pd.Series, b: pd.Series) -> pd.Series:
+    """-1, 0 or 1; null where either does not parse, or is null."""
+    items: dict = {}
+
+    def parsed(v):
+        if v not in items:
+            items[v] = maven_items(v)
+        return items[v]
+
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = (parsed(v) if isinstance(v, str) else None for v in (x, y))
+        out.append(None if x is None or y is None else maven_order(x, y))
+    return pd.Series(out, dtype="Int32")
+
+
+# --- Ranges ------------------------------------------------------------------
+
+
 def range_verdict(version: Column, introduced: Column, fixed: Column, last: Column, has_introduced: Column, has_fixed: Column, has_last: Column) -> Column:
     """Verdict of one range over keys: lower bound inclusive, then `fixed` exclusive, else `last` inclusive.
 
@@ -184,7 +306,34 @@ def range_verdict(version: Column, introduced: Column, fixed: Column, last: Colu
     )
 
 
+def compared_verdict(parses: Column, low: Column, fixed: Column, last: Column, has_introduced: Column, has_fixed: Column, has_last: Column) -> Column:
+    """range_verdict() from comparisons (-1, 0, 1 or null) of the version with each bound."""
+    one, zero = F.lit(1), F.lit(0)
+    key = F.when(parses, zero)
+    return range_verdict(key, -low, F.when(fixed < 0, one).when(fixed >= 0, zero), F.when(last <= 0, zero).when(last > 0, -one), has_introduced, has_fixed, has_last)
+
+
 def any_range(verdicts: Column) -> Column:
     """Over a group's ranges: affected wins over undecidable, which wins over not affected."""
     rank = F.max(F.when(verdicts == AFFECTED, 2).when(verdicts == UNDECIDABLE, 1).otherwise(0))
     return F.when(rank == 2, AFFECTED).when(rank == 1, UNDECIDABLE).otherwise(NOT_AFFECTED)
+
+
+def listed_verdict(version: Column, versions: Column, undecidable: Column) -> Column:
+    """Of an advisory without ranges: whether the version, without a leading v, is listed; undecidable only where nothing is."""
+    listed = F.coalesce(F.size(versions), F.lit(0)) > 0
+    found = F.coalesce(F.array_contains(versions, F.regexp_replace(version, "^v", "")), F.lit(False))
+    return F.when(listed, F.when(found, AFFECTED).otherwise(NOT_AFFECTED)).when(F.coalesce(undecidable, F.lit(False)), UNDECIDABLE).otherwise(NOT_AFFECTED)
+
+
+# --- Names of platforms: dotted numbers, compared in pairs -------------------
+
+
+def dotted_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by the first differing segment, as numbers; null (undecidable) if that segment is not a number in both. A missing one is empty."""
+    x, y = F.split(a, r"\."), F.split(b, r"\.")
+    number = lambda s: F.when(s.rlike(f"^[+-]?{_INT}$"), s.cast("bigint"))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1), lambda i: F.struct(F.coalesce(F.get(x, i), F.lit("")).alias("x"), F.coalesce(F.get(y, i), F.lit("")).alias("y")))
+    differ = F.filter(pairs, lambda p: ~F.coalesce(number(p["x"]) == number(p["y"]), p["x"] == p["y"]))
+    first = F.get(differ, F.lit(0))
+    return F.when(F.size(differ) == 0, 0).otherwise(F.signum((number(first["x"]) - number(first["y"])).cast("double")).cast("int"))
