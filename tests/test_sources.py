@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from veristrata.sources import feeds, lockfiles
 
@@ -9,6 +10,19 @@ FILES = {
     "composer.lock": (json.dumps({"packages": [{"name": "A/b", "version": "v1.2"}], "packages-dev": [{"name": "c/d", "version": "3"}]}), {("a/b", "1.2", "runtime"), ("c/d", "3", "dev")}),
     "Gemfile.lock": ("﻿PATH\n  specs:\n    own (0.1)\n\nGEM\n  specs:\n    rack (2.0.1)\n      dep (>= 1)\n    noko (1.2-x86_64-linux)\n    noko (1.2)\n\nPLATFORMS\n    ruby (1)\n", {("rack", "2.0.1", "runtime"), ("noko", "1.2", "runtime")}),
     "mix.lock": ('%{\n  "jason": {:hex, :jason, "1.4.0", "x"},\n  "g": {:git, "u", "s"},\n}', {("jason", "1.4.0", "runtime")}),
+    "pom.xml": ("<project><dependencyManagement><dependencies><dependency><groupId>g</groupId><artifactId>m</artifactId><version>3</version></dependency></dependencies></dependencyManagement><dependencies><!-- <dependency><groupId>no</groupId></dependency> --><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1.0</version></dependency><dependency><groupId>g</groupId><artifactId>m</artifactId><scope>test</scope></dependency><dependency><groupId>g</groupId><artifactId>v</artifactId><version>${x}</version></dependency></dependencies></project>", {("g:a", "1.0", "runtime"), ("g:m", "3", "dev")}),
+    "packages.lock.json": (json.dumps({"version": 1, "dependencies": {"net6.0": {"A": {"type": "Direct", "resolved": "1.0"}, "P": {"type": "Project", "resolved": "9"}}, "net7.0": {"a": {"type": "Transitive", "resolved": "1.0"}, "B": {"type": "Direct"}}}}), {("A", "1.0", "runtime")}),
+    "project.assets.json": (json.dumps({"targets": {"net6.0": {"A/1.0": {"type": "package"}, "P/1": {"type": "project"}, "bad": {"type": "package"}}}}), {("A", "1.0", "runtime")}),
+    "packages.config": ('<packages><package id="A" version="1.0" /><package id="D" version="2" developmentDependency="true"/></packages>', {("A", "1.0", "runtime"), ("D", "2", "dev")}),
+    "csproj": ('<Project><PackageReference Include="A" Version="1.0" /><PackageReference Include="B"><Version>2.0</Version></PackageReference><PackageReference Include="C" Version="1.*" /></Project>', {("A", "1.0", "runtime"), ("B", "2.0", "runtime")}),
+    "rebar.lock": ('{"1.2.0",\n[{<<"cow">>,{pkg,<<"cowlib">>,<<"2.1">>},1}]}.', {("cowlib", "2.1", "runtime")}),
+    "pubspec.lock": ('packages:\n  a:\n    dependency: "direct dev"\n    description:\n      name: a\n    source: hosted\n    version: "1.0.0"\n  b:\n    dependency: transitive\n    source: hosted\n    version: "2.0.0"\n  s:\n    dependency: "direct main"\n    source: sdk\n    version: "0.0.0"\nsdks:\n  dart: ">=2"\n', {("a", "1.0.0", "dev"), ("b", "2.0.0", "runtime")}),
+    "Package.resolved": (json.dumps({"version": 2, "pins": [{"location": "https://GitHub.com/a/B.git", "state": {"version": "1.0"}}, {"location": "git@h.x:a/c.git/", "state": {"version": "2.0"}}]}), {("github.com/a/b", "1.0", "runtime"), ("h.x/a/c", "2.0", "runtime")}),
+    "yarn.lock": ('# yarn lockfile v1\n\n"@s/a@^1.0", "@s/a@~1":\n  version "1.2.0"\n  resolved "u"\n  dependencies:\n    b "^2"\n\nb@^2:\n  version "2.0.1"\n', {("@s/a", "1.2.0", "runtime"), ("b", "2.0.1", "runtime")}),
+    "pnpm-lock.yaml": ("lockfileVersion: '6.0'\npackages:\n\n  /a@1.0.0:\n    dev: true\n\n  /@s/b@2.0.0(react@18):\n    dev: false\n\n  c@3.0.0: {}\n\nsnapshots:\n  d@1: {}\n", {("a", "1.0.0", "dev"), ("@s/b", "2.0.0", "runtime"), ("c", "3.0.0", "runtime")}),
+    "poetry.lock": ('[[package]]\nname = "A.b"\nversion = "1.0"\ncategory = "dev"\n\n[package.dependencies]\nname = "x"\n\n[[package]]\nname = "c"\nversion = "2"\n\n[metadata]\nname = "no"\n', {("A.b", "1.0", "dev"), ("c", "2", "")}),
+    "Pipfile.lock": (json.dumps({"default": {"a": {"version": "==1.0"}}, "develop": {"t": {"version": "==2"}}}), {("a", "1.0", ""), ("t", "2", "dev")}),
+    "requirements.txt": ("# c\na==1.0\nB.c[x,y] == 2.0 ; python_version > '3' # y\nd>=1\ne==1.*\n-r other.txt\nf==3 --hash=sha256:00\n", {("a", "1.0", ""), ("B.c", "2.0", ""), ("f", "3", "")}),
     "package-lock.json": (json.dumps({"packages": {"": {"version": "1"}, "node_modules/a": {"version": "1.0"}, "node_modules/a/node_modules/@s/b": {"version": "2.0", "dev": True}, "node_modules/l": {"link": True}}}), {("a", "1.0", "runtime"), ("@s/b", "2.0", "dev")}),
 }
 
@@ -20,9 +34,48 @@ def test_lockfiles(spark, tmp_path, kind):
     (tmp_path / "p" / kind).write_text(content, encoding="utf-8")
     rows = lockfiles.files(spark, str(tmp_path), kind)
     assert {tuple(r)[1:] for r in lockfiles.READERS[kind](rows).collect()} == want
-    assert [r["complete"] for r in lockfiles.closure(rows, kind).collect()] == [True]
+    assert [r["complete"] for r in lockfiles.closure(rows, kind).collect()] == [kind not in lockfiles.PARTIAL]
     broken = spark.createDataFrame([("x", ""), ("y", None)], "path string, content string")
-    assert lockfiles.READERS[kind](broken).count() == 0
+    assert lockfiles.read(broken, kind).count() == 0
+    assert [r["complete"] for r in lockfiles.closure(broken.filter("content is null"), kind).collect()] == [False]
+
+
+def test_registry():
+    with pytest.raises(ValueError):
+        lockfiles.read(None, "unknown.lock")
+    with pytest.raises(ValueError):
+        lockfiles.register_reader("yarn.lock", None)
+
+
+def test_cargo(spark):
+    text = json.dumps({"packages": [{"id": "a 1.0 (r)", "name": "a", "version": "1.0"}, {"id": "r#b@2.0", "name": "b", "version": "2.0"}, {"id": "m", "name": "m", "version": "0.1"}], "workspace_members": ["m"], "resolve": {"root": "m", "nodes": [{"id": "m", "deps": [{"name": "a", "pkg": "a 1.0 (r)", "dep_kinds": [{"kind": None}, {"kind": "dev"}]}, {"name": "b", "pkg": "r#b@2.0", "dep_kinds": [{"kind": "dev"}]}]}, {"id": "a 1.0 (r)", "deps": []}]}})
+    odd = json.loads(text)
+    odd["resolve"]["nodes"][0]["deps"][0]["pkg"] = "gone"
+    rows = spark.createDataFrame([("p", text), ("q", json.dumps(odd)), ("e", "{}")], "path string, content string")
+    packages, status = lockfiles.cargo(rows)
+    got = {r["name"]: (r["as_normal"], r["as_dev"], r["as_build"]) for r in packages.filter("path = 'p'").collect()}
+    assert got == {"a": (True, True, False), "b": (False, True, False), "m": (True, False, False)}
+    assert {r["path"]: r["complete"] for r in status.collect()} == {"p": True, "q": False, "e": False}
+    names = spark.createDataFrame([("serde 1.0 (registry+u)",), ("registry+https://x/i#serde@1.0",), ("path+file:///w/serde#0.1",)], "i string").select(lockfiles.crate_name(F.col("i")).alias("n"))
+    assert [r["n"] for r in names.collect()] == ["serde"] * 3
+
+
+def test_projects(spark):
+    paths = spark.createDataFrame([("p", x) for x in ("go.mod", "web/package.json", "node_modules/x/package.json", "a/b/c/d/e/pom.xml", "a/b/c/d/e/f/pom.xml", "App.csproj", "README.md")], "project string, path string")
+    found = lockfiles.detect(paths)
+    assert {(r["folder"], r["ecosystem"]) for r in found.collect()} == {("", "Go"), ("web", "npm"), ("a/b/c/d/e", "Maven"), ("", "NuGet")}
+    assert [(r["n_folders"], r["capped"]) for r in lockfiles.discovery_status(found, 2).collect()] == [(3, True)]
+    assert lockfiles.narrowed(found, ["Go"]).count() == 1
+    with pytest.raises(ValueError):
+        lockfiles.narrowed(found, ["Cobol"])
+    hosts = spark.createDataFrame([(["linux"], None), (["!linux"], None), (["darwin"], None), (None, ["!arm64"]), ([], [])], "os array<string>, cpu array<string>")
+    assert [r["x"] for r in hosts.select(lockfiles.platform_excluded(F.col("os"), F.col("cpu"), "linux", "x64").alias("x")).collect()] == [False, True, True, False, False]
+    deps = spark.createDataFrame([("p", n, "1") for n in ("A_b", "c", "d", "e", "f")], "project string, name string, version string")
+    groups = spark.createDataFrame([("p", "a.b", "dev", "dev"), ("p", "A-B", "runtime", ""), ("p", "c", "extra", "x"), ("p", "d", "dev", "unit-tests"), ("p", "e", "dev", "docs")], "project string, name string, kind string, grp string")
+    assert {r["name"]: r["dep_type"] for r in lockfiles.classify_by_project(deps, groups).collect()} == {"A_b": "runtime", "c": "optional-extra", "d": "test", "e": "docs", "f": "runtime"}
+    tiers = spark.createDataFrame([("p", 0, "a"), ("p", 1, "b"), ("q", 0, "c"), ("q", 3, "d")], "project string, tier int, name string")
+    status = spark.createDataFrame([("p", 0, False), ("p", 1, True), ("q", 0, False), ("q", 3, False)], "project string, tier int, complete boolean")
+    assert {r["name"] for r in lockfiles.first_tier(tiers, status).collect()} == {"b", "d"}
 
 
 def _record(**more):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Confidence codes and severity codes.
@@ -25,9 +25,10 @@ def _weight(value: Column, weights: dict[str, float]) -> Column:
     return out
 
 
-def metrics(vector: Column) -> Column:
-    """The vector's metrics as a map; the last of duplicates wins (mapKeyDedupPolicy)."""
-    return F.str_to_map(vector, F.lit("/"), F.lit(":"))
+def metric(vector: Column, key: str) -> Column:
+    """The value of a metric; the last of duplicates counts, and null if there is none."""
+    found = F.regexp_extract(F.concat(F.lit("/"), vector), rf"^.*/{key}:([^/]+)", 1)
+    return F.when(found != "", found)
 
 
 def roundup(x: Column) -> Column:
@@ -38,8 +39,7 @@ def roundup(x: Column) -> Column:
 
 def cvss3(vector: Column) -> Column:
     """Base score of a v3 vector; null if a metric is missing or invalid."""
-    m = metrics(vector)
-    get = lambda k: F.try_element_at(m, F.lit(k))
+    get = lambda k: metric(vector, k)
     changed = get("S") == "C"
     pr = F.when(changed, _weight(get("PR"), PR["C"])).when(get("S") == "U", _weight(get("PR"), PR["U"]))
     c, i, a = (_weight(get(k), CIA) for k in "CIA")
@@ -50,6 +50,46 @@ def cvss3(vector: Column) -> Column:
     return F.when(impact.isNull() | exploit.isNull(), None).when(impact <= 0, 0.0).otherwise(roundup(F.least(total, F.lit(10.0))))
 
 
+def cvss3_scores(rows: DataFrame, column: str = "vector") -> DataFrame:
+    """rows with `score`: each distinct vector is scored once."""
+    scored = rows.select(F.col(column).alias("_v")).distinct().withColumn("score", cvss3(F.col("_v")))
+    return rows.join(scored, F.col(column).eqNullSafe(F.col("_v")), "left").drop("_v")
+
+
+#: Required metrics of CVSS v4.0 and their values.
+V4 = {"AV": "NALP", "AC": "LH", "AT": "NP", "PR": "NLH", "UI": "NPA", "VC": "HLN", "VI": "HLN", "VA": "HLN", "SC": "HLN", "SI": "HLN", "SA": "HLN"}
+
+
+def cvss4_valid(vector: Column) -> Column:
+    """Whether all base metrics are there with allowed values. Such a vector is kept, with score 0."""
+    out = F.startswith(vector, F.lit("CVSS:4.0/"))
+    for key, values in V4.items():
+        out = out & F.coalesce(metric(vector, key).isin(*values), F.lit(False))
+    return F.coalesce(out, F.lit(False))
+
+
+def parsed_cvss(vector: Column, source: Column) -> Column:
+    """struct<version, vector, base_score, source>; null for a vector that cannot be used."""
+    version = F.regexp_extract(vector, r"^CVSS:([0-9.]+)/", 1)
+    score = F.when(version.isin("3.0", "3.1"), cvss3(vector)).when(cvss4_valid(vector), 0.0)
+    return F.when(score.isNotNull(), F.struct(version.alias("version"), vector.alias("vector"), score.alias("base_score"), source.alias("source")))
+
+
+def best_cvss(metrics: Column) -> Column:
+    """struct<vector, base_score>: the first of the greatest scores; the first vector, with 0, if none is scored; null without any."""
+    start = F.struct(F.lit("").alias("vector"), F.lit(0.0).alias("base_score"))
+    best = F.aggregate(metrics, start, lambda a, m: F.when(m["base_score"] > a["base_score"], F.struct(m["vector"].alias("vector"), m["base_score"].alias("base_score"))).otherwise(a))
+    first = F.struct(F.get(metrics, F.lit(0))["vector"].alias("vector"), F.lit(0.0).alias("base_score"))
+    return F.when(F.size(metrics) <= 0, None).when(best["base_score"] > 0, best).otherwise(first)
+
+
+def severity_of_metrics(metrics: Column, bare: Column, text: Column) -> Column:
+    """From the first scored metric of the newest version, else a bare score, else the text."""
+    first = lambda v: F.get(F.filter(metrics, lambda m: (m["version"] == v) & (m["base_score"] > 0)), F.lit(0))["base_score"]
+    score = F.coalesce(first("4.0"), first("3.1"), first("3.0"), F.when(bare > 0, bare))
+    return F.when(score.isNotNull(), severity_band(score)).otherwise(severity_of_text(F.coalesce(text, F.lit(""))))
+
+
 def severity_band(score: Column) -> Column:
     return F.when(score <= 0, 0).when(score < 4, 1).when(score < 7, 2).when(score < 9, 3).otherwise(4)
 

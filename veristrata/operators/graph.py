@@ -1,39 +1,170 @@
-"""Reachability and components over edge tables, level by level."""
+"""Reachability, shortest paths and components over edge tables, level by level."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veristrata.session import cut
 
+def reachable(edges: DataFrame, roots: DataFrame, by: list[str] | None = None, most_levels: int | None = None) -> DataFrame:
+    """by, node, depth: all nodes that roots (by, node) reach over edges (by, src, dst), at their least depth. Cycles are fine.
 
-def reachable(edges: DataFrame, roots: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """node, depth: all nodes that roots (node) reach over edges (src, dst). Cycles are fine."""
-    seen = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen, 0
-    while depth < most_rounds:
+    The search ends when nothing new is found. With most_levels it may end before, and then every row says so: the
+    column `incomplete` is added, and nodes that are missing are not proven unreachable.
+    """
+    by = by or []
+    keys = [*by, "node"]
+    seen = cut(roots.select(*keys).distinct().withColumn("depth", F.lit(0)))
+    frontier, depth, whole = seen, 0, False
+    steps = edges.select(*by, F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
+    while most_levels is None or depth < most_levels:
         depth += 1
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        step = frontier.join(steps, keys).select(*by, F.col("to").alias("node")).distinct()
+        frontier = cut(step.join(seen.select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
+            whole = True
             break
         seen = seen.union(frontier)
         if depth % 8 == 0:
             seen = cut(seen)
-    return seen
+    if most_levels is None:
+        return seen
+    if not whole:
+        left = frontier.join(steps, keys).select(*by, F.col("to").alias("node")).join(seen.select(*keys), keys, "left_anti")
+        whole = left.isEmpty()
+    return seen.withColumn("incomplete", F.lit(not whole))
+
+
+def shortest_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
+    """graph, target, path (nodes from a root to the target), sites (of its edges): a row for each target that is reached.
+
+    edges: graph, src, dst, sort_key, site; roots and targets: graph, node. Roots queue in order of their names, a node's
+    edges in order of sort_key (then dst); the first to reach a node is its predecessor. So a node is ranked, in its
+    level, by its predecessor's rank and the edge: this is the order in which a queue would take it.
+    """
+    start = Window.partitionBy("graph").orderBy("node")
+    seen = roots.select("graph", "node").distinct().withColumns({"depth": F.lit(0), "rank": F.row_number().over(start).cast("long"), "parent": F.lit(None).cast(roots.schema["node"].dataType), "site": F.lit(None).cast(edges.schema["site"].dataType)})
+    seen = frontier = cut(seen)
+    depth = 0
+    while True:
+        depth += 1
+        here = frontier.select("graph", F.col("node").alias("src"), "rank")
+        reached = here.join(edges, ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg(F.min(F.struct("rank", "sort_key", F.col("src").alias("parent"), "site")).alias("first"))
+        new = reached.join(seen.select("graph", "node"), ["graph", "node"], "left_anti")
+        order = Window.partitionBy("graph").orderBy("first.rank", "first.sort_key", "node")
+        frontier = cut(new.select("graph", "node", F.lit(depth).alias("depth"), F.row_number().over(order).cast("long").alias("rank"), F.col("first.parent").alias("parent"), F.col("first.site").alias("site")))
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+        if depth % 8 == 0:
+            seen = cut(seen)
+    seen = cut(seen)
+    back = targets.select("graph", F.col("node").alias("target")).distinct()
+    rows = back.withColumn("node", F.col("target")).join(seen, ["graph", "node"])
+    rows = cut(rows.select("graph", "target", F.col("parent").alias("at"), F.array("node").alias("path"), F.array("site").alias("sites")))
+    while not rows.filter("at is not null").isEmpty():
+        up = seen.select("graph", F.col("node").alias("at"), F.col("parent").alias("above"), F.col("site").alias("here"))
+        rows = rows.join(up, ["graph", "at"], "left")
+        more = F.col("at").isNotNull()
+        rows = cut(rows.select("graph", "target", F.col("above").alias("at"), F.when(more, F.concat(F.array("at"), "path")).otherwise(F.col("path")).alias("path"), F.when(more, F.concat(F.array("here"), "sites")).otherwise(F.col("sites")).alias("sites")))
+    return rows.select("graph", "target", "path", F.slice("sites", F.lit(2), F.greatest(F.size("sites") - 1, F.lit(0))).alias("sites"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node), by alternating neighbour minima and pointer jumps."""
-    both = cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = cut(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
+    """node, component (its smallest node), by alternating large and small stars, until one aggregate over the edges does not change."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    links = cut(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a != b").distinct())
+    before = None
     while True:
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("m"))
-        new = labels.join(near, labels["node"] == near["src"], "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
-        up = new.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        new = cut(new.join(up, "component").select("node", F.least("component", "above").alias("component")))
-        old = labels.withColumnRenamed("component", "was")
-        if new.join(old, "node").filter("component != was").isEmpty():
-            return new
-        labels = new
+        state = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        if state == before or not state["n"]:
+            break
+        before = state
+        # Large star: every larger neighbour of a node hangs on the least of the node and its neighbours.
+        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a != b").distinct()
+        # Small star: a node and its smaller neighbours hang on the least of them.
+        near = large.join(large.groupBy("b").agg(F.min("a").alias("m")), "b")
+        links = cut(near.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").filter("a != b").distinct())
+    roots = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def entry_points(functions: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """graph, node: main, init and tests of main packages; of a graph without any, init and exported functions of all packages. functions: graph, node, package, name.
+
+    Explicit entry points (graph, node), where a graph has some, replace both.
+    """
+    main = F.col("package") == "main"
+    test = F.col("name").rlike("^(Test|Benchmark|Example).")
+    with_main = functions.groupBy("graph").agg(F.bool_or(main).alias("has_main"))
+    rows = functions.join(with_main, "graph")
+    chosen = F.when(F.col("has_main"), main & (F.col("name").isin("main", "init") | test)).otherwise((F.col("name") == "init") | F.col("name").rlike("^[A-Z]"))
+    found = rows.filter(chosen).select("graph", "node")
+    if explicit is None:
+        return found
+    given = explicit.select("graph").distinct()
+    return found.join(given, "graph", "left_anti").union(explicit.select("graph", "node").distinct())
+
+
+def resolve_symbols(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
+    """symbols (graph, package, symbol) with `node`s: a function by its name, or a method by Type.Method, of a value or a pointer; null if there is none.
+
+    nodes: graph, node, package, name, receiver (type name, with * for a pointer; null for functions).
+    """
+    named = nodes.select("graph", "node", "package", F.when(F.col("receiver").isNull(), F.col("name")).otherwise(F.concat(F.ltrim(F.lit("*"), F.col("receiver")), F.lit("."), "name")).alias("symbol"))
+    return symbols.join(named, ["graph", "package", "symbol"], "left")
+
+
+def guards(reached: DataFrame, nodes: DataFrame, targets: DataFrame) -> DataFrame:
+    """graph, target, reflects (a reached function calls reflection), address_taken (the target is used as a value); what is not known counts as true.
+
+    reached: graph, node; nodes: graph, node, calls_reflect, address_taken; targets: graph, target.
+    """
+    known = reached.select("graph", "node").join(nodes, ["graph", "node"], "left")
+    reflect = known.groupBy("graph").agg(F.bool_or(F.coalesce("calls_reflect", F.lit(True))).alias("reflects"))
+    own = nodes.select("graph", F.col("node").alias("target"), "address_taken")
+    rows = targets.join(own, ["graph", "target"], "left").join(reflect, "graph", "left")
+    return rows.select("graph", "target", F.coalesce("reflects", F.lit(False)).alias("reflects"), F.coalesce("address_taken", F.lit(True)).alias("address_taken"))
+
+
+def module_search(imports: DataFrame, entries: DataFrame, fidelity: DataFrame, most_files: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Reached files (project, node, depth), and the frontiers (project, file, reason, could_reach) met there.
+
+    imports: project, src, dst (null if unresolved), kind (static, dynamic, dispatch); entries: project, node; fidelity: project,
+    node, fidelity (source, reduced, none). Imports of files that are not source are not followed; such a file, an unresolved
+    import and a dynamic one are frontiers that may reach anything. With most_files, a project with more is a frontier too.
+    """
+    followed = imports.filter("dst is not null").join(fidelity.filter("fidelity != 'source'").select("project", F.col("node").alias("src")), ["project", "src"], "left_anti")
+    seen = reachable(followed, entries, ["project"])
+    blind = seen.join(fidelity.filter("fidelity != 'source'"), ["project", "node"]).select("project", F.col("node").alias("file"), F.concat(F.lit("fidelity-"), "fidelity").alias("reason"))
+    odd = imports.filter("dst is null or kind != 'static'").withColumn("reason", F.when(F.col("kind") != "static", F.col("kind")).otherwise("unresolved"))
+    odd = odd.join(seen.select("project", F.col("node").alias("src")), ["project", "src"], "left_semi").select("project", F.col("src").alias("file"), "reason")
+    out = blind.union(odd)
+    if most_files is not None:
+        out = out.union(seen.groupBy("project").agg(F.count("*").alias("n"), F.min("node").alias("file")).filter(F.col("n") > most_files).select("project", "file", F.lit("truncated").alias("reason")))
+    return seen, out.distinct().withColumn("could_reach", F.lit(None).cast("array<string>"))
+
+
+def nearest(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """paths (project, path, ...) with `root`: the longest root (project, root) that is the path or a folder above it; null without one.
+
+    A path's prefixes make this an equi-join. The empty root holds all.
+    """
+    parts = F.split("path", "/")
+    above = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/")))
+    rows = paths.select("project", "path").distinct().select("project", "path", F.posexplode(above).alias("_depth", "root"))
+    best = rows.join(roots.select("project", "root").distinct(), ["project", "root"]).groupBy("project", "path").agg(F.max_by("root", "_depth").alias("root"))
+    return paths.join(best, ["project", "path"], "left")
+
+
+def crate_flags(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """project, package, as_normal, as_dev, as_build: by which kinds of dependency a package is used; workspace members are normal.
+
+    edges: project, src, dst, kind (null or 'normal', 'dev', 'build'); members: project, package.
+    """
+    kind = F.coalesce("kind", F.lit("normal"))
+    used = edges.select("project", F.col("dst").alias("package"), kind.alias("kind")).union(members.select("project", "package", F.lit("normal").alias("kind")))
+    return used.groupBy("project", "package").agg(*[F.bool_or(F.col("kind") == k).alias(f"as_{k}") for k in ("normal", "dev", "build")])
