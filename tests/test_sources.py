@@ -102,3 +102,80 @@ def test_signals(spark, tmp_path):
     assert [tuple(r) for r in feeds.epss(spark, str(tmp_path / "e.csv")).collect()] == [("CVE-1", 0.5, 0.9)]
     text = json.dumps({"vulnerabilities": [{"cveID": " cve-3 ", "dateAdded": "2024-01-01", "knownRansomwareCampaignUse": "KNOWN"}]})
     assert [(r["cve"], r["ransomware"]) for r in feeds.kev(spark.createDataFrame([(text,)], "content string")).collect()] == [("CVE-3", True)]
+
+
+def _frame(spark, *texts):
+    return spark.createDataFrame([(t if isinstance(t, str) or t is None else json.dumps(t),) for t in texts], "content string")
+
+
+def test_module_advisories(spark):
+    package = {"ecosystem": "go", "name": "m"}
+    rows = _frame(
+        spark,
+        {"id": "A", "affected": [{"package": package, "ranges": [{"type": "SEMVER", "events": [{"introduced": "0"}, {"fixed": "1.1"}]}], "ecosystem_specific": {"imports": [{"path": "m/p", "symbols": ["F", "T.M"]}]}}, {"package": {"ecosystem": "Go", "name": "m/v2"}, "ranges": [{"type": "semver", "events": [{"introduced": "2.0"}]}, {"type": "GIT"}]}, {"package": {"ecosystem": "npm", "name": "x"}, "ranges": [{"type": "SEMVER", "events": [{"introduced": "9"}]}]}]},
+        {"id": "B", "affected": [{"package": package}]},
+        {"id": "C", "withdrawn": "2024", "affected": [{"package": package}]},
+        {"id": "D", "affected": [{"package": {"ecosystem": "npm", "name": "m"}}]},
+        "{",
+    )
+    got = {r["id"]: r for r in feeds.module_advisories(rows).collect()}
+    assert set(got) == {"A", "B"} and got["A"]["name"] == "m" and got["A"]["symbol_level"] and not got["B"]["symbol_level"]
+    assert [tuple(x) for x in got["A"]["version_ranges"]] == [("", "1.1", ""), ("2.0", "", "")] and [tuple(x) for x in got["A"]["symbols"]] == [("m/p", "F"), ("m/p", "T.M")]
+    assert [tuple(x) for x in got["B"]["version_ranges"]] == [("", "", "")]
+
+
+def test_ends_without_beginning(spark):
+    cases = [([{"fixed": "1"}], []), ([{"introduced": "0"}, {"introduced": "2"}, {"fixed": "3"}, {"fixed": "4"}], [("", "", ""), ("2", "3", "")]), ([{"introduced": "1", "fixed": "2"}], [("1", "2", "")]), ([{"introduced": ""}, {"last_affected": "3"}], [])]
+    rows = spark.createDataFrame([(i, json.dumps(e)) for i, (e, _) in enumerate(cases)], "i int, e string").orderBy("i")
+    got = rows.select(feeds.ranges_of(F.from_json("e", "array<struct<introduced:string,fixed:string,last_affected:string>>")).alias("r")).collect()
+    assert [[tuple(x) for x in r["r"]] for r in got] == [w for _, w in cases]
+
+
+def test_graph_pages(spark):
+    node = lambda i, r, **a: {"package": {"name": "Pkg", "ecosystem": "NPM"}, "vulnerableVersionRange": r, "severity": "LOW", "advisory": {"ghsaId": i, "identifiers": [{"type": "GHSA", "value": i}, {"type": "CVE", "value": "CVE-2024-1"}], "cvss": {"score": 9.8, "vectorString": "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"}, "cwes": {"nodes": [{"cweId": "CWE-79"}]}, **a}}
+    rows = _frame(spark, {"data": {"securityVulnerabilities": {"nodes": [node("G1", ">= 1.0, < 2.0"), node("G2", "= 1.5"), node("G3", "> 1.0"), node("G4", "< 1", withdrawnAt="2024"), node("G5", "<= 3")]}}}, None)
+    got = {r["id"]: r for r in feeds.graph_pages(rows).collect()}
+    assert {i: [tuple(x) for x in r["version_ranges"]] for i, r in got.items()} == {"G1": [("1.0", "2.0", "")], "G2": [("1.5", "", "1.5")], "G3": [], "G5": [("", "", "3")]}
+    assert [i for i, r in got.items() if r["undecidable_ranges"]] == ["G3"] and got["G1"]["severity"] == 4 and got["G1"]["aliases"] == ["CVE-2024-1"] and got["G1"]["name"] == "pkg"
+
+
+def test_tree(spark):
+    text = "identifier: GMS-1\nidentifiers:\n- GHSA-x\n- CVE-2024-2\naffected_range: {}\nfixed_versions:\n- \"2.0\"\ncwe_ids: [cwe79, '20']\ncvss_v3: CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H\n"
+    rows = spark.createDataFrame([("npm/@s/p/a.yml", text.format('">=1.0"')), ("maven/g.h/art/b.yml", text.format("'[1.0,1.5)'")), ("pypi/p/c.yml", "uuid: u-1\naffected_range: '<x y'\n"), ("npm/p/d.yml", "title: none\n"), ("odd/p/e.yml", text)], "path string, content string")
+    got = {r["name"]: r for r in feeds.tree(rows).collect()}
+    assert set(got) == {"@s/p", "g.h:art", "p"} and got["@s/p"]["id"] == "CVE-2024-2" and got["@s/p"]["aliases"] == ["GHSA-x", "GMS-1"]
+    assert [tuple(x) for x in got["@s/p"]["version_ranges"]] == [("1.0", "2.0", "")] and [tuple(x) for x in got["g.h:art"]["version_ranges"]] == [("1.0", "1.5", "")]
+    assert got["p"]["id"] == "u-1" and got["p"]["undecidable_ranges"] and got["@s/p"]["cwes"] == ["CWE-20", "CWE-79"] and got["@s/p"]["severity"] == 4
+
+
+def test_nvd_and_platforms(spark):
+    from veristrata.operators.advisories import platform_matches
+
+    cpe = lambda v, **k: {"vulnerable": True, "criteria": f"cpe:2.3:a:vendor:my_lib:{v}:*:*", **k}
+    one = lambda i, *m: {"cve": {"id": i, "metrics": {"cvssMetricV31": [{"cvssData": {"vectorString": "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"}}, {"cvssData": {"vectorString": "bad"}}]}, "weaknesses": [{"description": [{"value": "CWE-79"}, {"value": "NVD-CWE-noinfo"}]}], "configurations": [{"nodes": [{"cpeMatch": list(m)}]}]}}
+    rows = _frame(spark, {"vulnerabilities": [one("cve-1", cpe("1.2.0")), one("CVE-2", cpe("*", versionStartIncluding="1.0", versionEndExcluding="1.2.0")), one("CVE-3", cpe("*", versionEndIncluding="1.2.0")), one("CVE-4", cpe("*")), one("CVE-5", cpe("*", versionEndExcluding="2.x")), one("CVE-6", {**cpe("1.2.0"), "vulnerable": False}), one("CVE-7", cpe("*", versionStartExcluding="1.2.0"))]})
+    found = feeds.nvd(rows)
+    assert {r["cve"]: (len(r["cvss"]), r["severity"], r["cwes"], len(r["cpe_matches"])) for r in found.collect()}["CVE-1"] == (1, 4, ["CWE-79"], 1)
+    deps = spark.createDataFrame([("Maven", "g:my-lib", "v1.2.0"), ("npm", "other", "1.2.0")], "ecosystem string, name string, version string")
+    assert {r["cve"]: r["provable"] for r in platform_matches(deps, found).collect()} == {"CVE-1": True, "CVE-3": True, "CVE-4": False, "CVE-5": True}
+
+
+def test_tools(spark):
+    reports = {
+        "osv-scanner": [{"results": [{"packages": [{"package": {"name": "p", "version": "1", "ecosystem": "npm"}, "vulnerabilities": [{"id": "A", "aliases": ["B"]}]}]}]}],
+        "grype": [{"matches": [{"vulnerability": {"id": "A"}, "relatedVulnerabilities": [{"id": "B"}], "artifact": {"name": "p", "version": "1", "type": "npm"}}]}],
+        "trivy": [{"Results": [{"Type": "npm", "Vulnerabilities": [{"VulnerabilityID": "A", "PkgName": "p", "InstalledVersion": "1"}]}, {"Type": "x"}]}],
+        "govulncheck": [{"osv": {"id": "A", "aliases": ["B"]}}, {"finding": {"osv": "A", "trace": [{"module": "p", "version": "1"}]}}, {"config": {}}],
+    }
+    for tool, report in reports.items():
+        got = feeds.tool_findings(_frame(spark, *report), tool).collect()
+        assert [tuple(r) for r in got] == [(tool, "A", ["A", "B"] if tool != "trivy" else ["A"], "Go" if tool == "govulncheck" else "npm", "p", "1")]
+
+
+def test_constraints():
+    from veristrata.functions.grammars import constraint_ranges
+
+    r = lambda a="", b="", c="": {"introduced": a, "fixed": b, "last_affected": c}
+    cases = {">=1.0 <2.0": [r("1.0", "2.0")], "^0.2.3": [r("0.2.3", "0.3.0")], "^1.2": [r("1.2", "2.0.0")], "^0.0.3": [r("0.0.3", "0.0.4")], "^0.0": [r("0.0", "0.1.0")], "^0": [r("0", "1.0.0")], "~1.2.3": [r("1.2.3", "1.3.0")], "~1": [r("1", "2.0.0")], "*": [r(b="9")], ">1 || ==3": [r("1"), r("3", c="3")], "[1,2)": [r("1", "2")], "(,2],[3]": [r(c="2"), r("3", c="3")], "1.2.3": [r("1.2.3", c="1.2.3")], "(1,)": [r("1")], "<=2,>=1": [r("1", c="2")], "": None, "<": None, "[1": None, "abc": None, "^x": None, "[]": None}
+    assert {k: constraint_ranges(k, ["9"]) for k in cases} == cases
+    assert constraint_ranges(">=1", ["2", "3"]) == [r("1")] and constraint_ranges(">=1", None) == [r("1")] and constraint_ranges(None) is None

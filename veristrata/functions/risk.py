@@ -19,10 +19,12 @@ PROXY = {4: 9.0, 3: 7.5, 2: 5.0, 1: 2.0}
 
 
 def _weight(value: Column, weights: dict[str, float]) -> Column:
-    out = F.lit(None).cast("double")
-    for k, w in weights.items():
-        out = F.when(value == k, F.lit(w)).otherwise(out)
-    return out
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), value)
+
+
+def _bind(value: Column, function) -> Column:
+    """function(value), with the value computed once however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
 
 
 def metric(vector: Column, key: str) -> Column:
@@ -39,15 +41,24 @@ def roundup(x: Column) -> Column:
 
 def cvss3(vector: Column) -> Column:
     """Base score of a v3 vector; null if a metric is missing or invalid."""
-    get = lambda k: metric(vector, k)
-    changed = get("S") == "C"
-    pr = F.when(changed, _weight(get("PR"), PR["C"])).when(get("S") == "U", _weight(get("PR"), PR["U"]))
-    c, i, a = (_weight(get(k), CIA) for k in "CIA")
-    iss = 1 - (1 - c) * (1 - i) * (1 - a)
-    impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, 15.0)).otherwise(6.42 * iss)
-    exploit = 8.22 * _weight(get("AV"), AV) * _weight(get("AC"), AC) * pr * _weight(get("UI"), UI)
-    total = F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit)
-    return F.when(impact.isNull() | exploit.isNull(), None).when(impact <= 0, 0.0).otherwise(roundup(F.least(total, F.lit(10.0))))
+
+    def score(m: Column) -> Column:
+        iss = 1 - (1 - m["c"]) * (1 - m["i"]) * (1 - m["a"])
+        impact = _bind(iss, lambda x: F.when(m["changed"], 7.52 * (x - 0.029) - 3.25 * F.pow(x - 0.02, 15.0)).otherwise(6.42 * x))
+        both = F.struct(impact.alias("impact"), (8.22 * m["av"] * m["ac"] * m["pr"] * m["ui"]).alias("exploit"), m["changed"].alias("changed"))
+        return _bind(both, total)
+
+    def total(x: Column) -> Column:
+        least = F.least(F.when(x["changed"], 1.08 * (x["impact"] + x["exploit"])).otherwise(x["impact"] + x["exploit"]), F.lit(10.0))
+        return F.when(x["impact"].isNull() | x["exploit"].isNull(), None).when(x["impact"] <= 0, 0.0).otherwise(_bind(least, roundup))
+
+    pr = metric(vector, "PR")
+    values = F.struct(
+        *[_weight(metric(vector, k.upper()), w).alias(k) for k, w in (("av", AV), ("ac", AC), ("ui", UI), ("c", CIA), ("i", CIA), ("a", CIA))],
+        F.when(metric(vector, "S") == "C", True).when(metric(vector, "S") == "U", False).alias("changed"),
+        F.when(metric(vector, "S") == "C", _weight(pr, PR["C"])).when(metric(vector, "S") == "U", _weight(pr, PR["U"])).alias("pr"),
+    )
+    return _bind(values, score)
 
 
 def cvss3_scores(rows: DataFrame, column: str = "vector") -> DataFrame:
@@ -71,8 +82,8 @@ def cvss4_valid(vector: Column) -> Column:
 def parsed_cvss(vector: Column, source: Column) -> Column:
     """struct<version, vector, base_score, source>; null for a vector that cannot be used."""
     version = F.regexp_extract(vector, r"^CVSS:([0-9.]+)/", 1)
-    score = F.when(version.isin("3.0", "3.1"), cvss3(vector)).when(cvss4_valid(vector), 0.0)
-    return F.when(score.isNotNull(), F.struct(version.alias("version"), vector.alias("vector"), score.alias("base_score"), source.alias("source")))
+    score = F.when(version.isin("3.0", "3.1"), cvss3(vector)).when(version == "4.0", F.when(cvss4_valid(vector), 0.0))
+    return _bind(score, lambda x: F.when(x.isNotNull(), F.struct(version.alias("version"), vector.alias("vector"), x.alias("base_score"), source.alias("source"))))
 
 
 def best_cvss(metrics: Column) -> Column:
@@ -85,9 +96,9 @@ def best_cvss(metrics: Column) -> Column:
 
 def severity_of_metrics(metrics: Column, bare: Column, text: Column) -> Column:
     """From the first scored metric of the newest version, else a bare score, else the text."""
-    first = lambda v: F.get(F.filter(metrics, lambda m: (m["version"] == v) & (m["base_score"] > 0)), F.lit(0))["base_score"]
-    score = F.coalesce(first("4.0"), first("3.1"), first("3.0"), F.when(bare > 0, bare))
-    return F.when(score.isNotNull(), severity_band(score)).otherwise(severity_of_text(F.coalesce(text, F.lit(""))))
+    ranked = F.transform(F.filter(metrics, lambda m: (m["base_score"] > 0) & m["version"].isin("4.0", "3.1", "3.0")), lambda m, i: F.struct(F.array_position(F.array(F.lit("4.0"), F.lit("3.1"), F.lit("3.0")), m["version"]).alias("rank"), i.alias("i"), m["base_score"].alias("score")))
+    score = F.coalesce(F.array_min(ranked)["score"], F.when(bare > 0, bare))
+    return _bind(score, lambda x: F.when(x.isNotNull(), severity_band(x)).otherwise(severity_of_text(F.coalesce(text, F.lit("")))))
 
 
 def severity_band(score: Column) -> Column:
