@@ -114,7 +114,7 @@ def resolve_symbols(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
 
     nodes: graph, node, package, name, receiver (type name, with * for a pointer; null for functions).
     """
-    named = nodes.select("graph", "node", "package", F.when(F.col("receiver").isNull(), F.col("name")).otherwise(F.concat(F.ltrim(F.lit("*"), F.col("receiver")), F.lit("."), "name")).alias("symbol"))
+    named = nodes.select("graph", "node", "package", F.when(F.col("receiver").isNull(), F.col("name")).otherwise(F.concat(F.ltrim(F.col("receiver"), F.lit("*")), F.lit("."), "name")).alias("symbol"))
     return symbols.join(named, ["graph", "package", "symbol"], "left")
 
 
