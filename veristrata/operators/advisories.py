@@ -173,6 +173,13 @@ def source_status(failures: DataFrame, fetched: DataFrame) -> DataFrame:
     return rows.select("source", F.col("errors").isNotNull().alias("failed"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"), "age")
 
 
+def freshness(sources: DataFrame, now: str, soft: int, hard: int | None = None) -> DataFrame:
+    """sources (source, fetched) with age in seconds, stale (beyond `soft`, or never fetched) and incomplete (beyond `hard`, if one is set)."""
+    age = F.to_timestamp(F.lit(now)).cast("double") - F.col("fetched").cast("timestamp").cast("double")
+    beyond = lambda most: F.coalesce(F.col("age") > most, F.lit(True))
+    return sources.withColumn("age", age).withColumns({"stale": beyond(soft), "incomplete": beyond(hard) if hard is not None else F.lit(False)})
+
+
 def uncovered(present: DataFrame, coverage: DataFrame) -> DataFrame:
     """ecosystems in scope (ecosystem) that no selected source (source, ecosystem) serves: the scan is incomplete there, not clean."""
     return present.select("ecosystem").distinct().join(coverage.select("ecosystem"), "ecosystem", "left_anti")

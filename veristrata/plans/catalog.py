@@ -10,72 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.functions import risk
-from veristrata.functions.versions import dotted_key, range_verdict
 from veristrata.operators import advisories as adv
-from veristrata.operators import graph
-from veristrata.plans import more, reach
+from veristrata.operators import graph, parity
+from veristrata.plans import files, more, reach, rules, scan
 from veristrata.session import table
 
-# --- projections -----------------------------------------------------------
-
-_DEPS = "SELECT l_orderkey AS project, 'Go' AS ecosystem, CAST(l_partkey AS STRING) AS name, concat(CAST(l_linenumber AS STRING), '.', CAST(CAST(l_quantity AS INT) AS STRING), '.', CAST(l_suppkey % 10 AS STRING)) AS version FROM {lineitem}"
-
-
-def _deps(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql(_DEPS.format(lineitem="{l}"), l=table(spark, sf, "lineitem"))
-    return rows.withColumn("key", dotted_key(F.col("version")))
-
-
-def _ranges(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.col("p_size")
-    text = F.when(size % 11 == 0, "x").otherwise(F.concat(((size % 7) + 1).cast("string"), F.lit("."), size.cast("string"), F.lit(".0")))
-    part = table(spark, sf, "part").select(F.lit("Go").alias("ecosystem"), F.col("p_partkey").cast("string").alias("name"), F.concat(F.lit("ADV-"), F.col("p_partkey").cast("string")).alias("advisory"), "p_size", "p_retailprice", text.alias("fixed_text"))
-    none = F.lit(None).cast("array<bigint>")
-    low = F.when(size % 3 == 0, dotted_key(F.lit("2.0.0")))
-    return part.withColumns({"introduced": low, "fixed": dotted_key(F.col("fixed_text")), "last": none, "has_introduced": size % 3 == 0, "has_fixed": F.lit(True), "has_last": F.lit(False), "severity": F.pmod(F.floor("p_retailprice"), F.lit(5)).cast("int")})
-
-
-_ORACLE_MATCH = """deps AS (SELECT l_orderkey AS project, CAST(l_partkey AS VARCHAR) AS name, l_linenumber || '.' || CAST(l_quantity AS INT) || '.' || (l_suppkey % 10) AS version, [CAST(l_linenumber AS BIGINT), CAST(l_quantity AS BIGINT), CAST(l_suppkey % 10 AS BIGINT)] AS k FROM lineitem),
-adv AS (SELECT CAST(p_partkey AS VARCHAR) AS name, 'ADV-' || p_partkey AS advisory, CAST(floor(p_retailprice) AS BIGINT) % 5 AS severity, CASE WHEN p_size % 11 = 0 THEN NULL ELSE [CAST(p_size % 7 + 1 AS BIGINT), CAST(p_size AS BIGINT), CAST(0 AS BIGINT)] END AS fixed, p_size % 3 = 0 AS has_low FROM part),
-matched AS (SELECT DISTINCT d.name, d.version, a.advisory, a.severity, CASE WHEN has_low AND k < [CAST(2 AS BIGINT), 0, 0] THEN 0 WHEN fixed IS NULL THEN 2 WHEN k < fixed THEN 1 ELSE 0 END AS verdict FROM deps d JOIN adv a USING (name))"""
-
-
-def _matched(spark, sf):
-    return adv.match(_deps(spark, sf), _ranges(spark, sf).drop("severity"))
-
-
-def version_range_verdict(spark, sf):
-    return _matched(spark, sf).groupBy("verdict").agg(F.count("*").alias("n"))
-
-
-def matched_versions(spark, sf):
-    return _matched(spark, sf).select("name", "version", "advisory", "verdict")
-
-
-def _findings(spark, sf):
-    """project, advisory, severity, confidence, score: package-reachable, or unknown where undecidable."""
-    severities = _ranges(spark, sf).select("advisory", "severity")
-    deps = _deps(spark, sf).select("project", "name", "version").distinct()
-    found = _matched(spark, sf).join(deps, ["name", "version"]).join(severities, "advisory")
-    found = found.withColumn("confidence", F.when(F.col("verdict") == 2, risk.UNKNOWN).otherwise(risk.PACKAGE_REACHABLE))
-    return found.withColumn("score", risk.risk_score(F.col("confidence"), F.lit(0.0), F.col("severity"), F.lit(None).cast("double"), F.lit(False)))
-
-
-def flagship(spark, sf):
-    """Which projects fail a gate on HIGH, at what greatest risk, and with which exit code."""
-    found = _findings(spark, sf)
-    rows = found.groupBy("project").agg(F.count("*").alias("n_findings"), F.max("score").alias("max_risk"), F.bool_or((F.col("severity") >= 3) & (F.col("confidence") == risk.PACKAGE_REACHABLE)).alias("failed"), F.bool_or(F.col("verdict") == 2).alias("incomplete"))
-    return rows.select("project", "n_findings", "max_risk", risk.exit_code(F.col("failed"), F.col("incomplete")).alias("exit_code"))
-
-
-_ORACLE_RISK = """found AS (SELECT DISTINCT d.project, m.name, m.version, m.advisory, m.severity, m.verdict FROM matched m JOIN deps d USING (name, version) WHERE verdict <> 0),
-scored AS (SELECT *, greatest((CASE severity WHEN 4 THEN 9.0 WHEN 3 THEN 7.5 WHEN 2 THEN 5.0 WHEN 1 THEN 2.0 ELSE 0.0 END)::DOUBLE * 10.0::DOUBLE * (CASE WHEN verdict = 2 THEN 0.6 ELSE 0.9 END)::DOUBLE, CASE WHEN verdict = 2 THEN 25.0 ELSE 40.0 END::DOUBLE) AS score FROM found)"""
-
-
-def risk_tiers(spark, sf):
-    return _findings(spark, sf).groupBy(risk.risk_tier(F.col("score")).alias("tier")).agg(F.count("*").alias("n"))
-
-
 def _vectors(spark, sf):
     pick = lambda col, options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(col.cast("int"), F.lit(len(options))) + 1).cast("int"))
     q, s, p = F.col("l_quantity"), F.col("l_suppkey"), F.col("l_partkey")
@@ -85,7 +24,7 @@ def _vectors(spark, sf):
 
 
 def cvss_v3_score(spark, sf):
-    rows = _vectors(spark, sf).withColumn("score", risk.cvss3(F.col("vector")))
+    rows = risk.cvss3_scores(_vectors(spark, sf))
     return rows.select("l_orderkey", "l_linenumber", "vector", F.round(F.col("score") * 10).cast("bigint").alias("score10"), risk.severity_band(F.col("score")).alias("band"))
 
 
@@ -120,8 +59,13 @@ def dep_type_merge(spark, sf):
 
 
 def ignore_antijoin(spark, sf):
-    found = table(spark, sf, "lineitem").select(F.concat(F.lit("ADV-"), F.col("l_partkey").cast("string")).alias("id"), F.col("l_orderkey").cast("string").alias("module")).distinct()
-    ignores = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("ADV-"), (F.col("o_custkey") % 2000 + 1).cast("string")).alias("id"), F.col("o_orderkey").cast("string").alias("module"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("expires"))
+    """Some ignores have no expiry or an old one, some name a symbol, some are elevated; some findings are proven and critical."""
+    line = table(spark, sf, "lineitem")
+    found = line.select(F.concat(F.lit("ADV-"), (F.col("l_partkey") % 50).cast("string")).alias("id"), F.col("l_orderkey").cast("string").alias("module"), F.array(F.concat(F.lit("s"), (F.col("l_orderkey") % 3).cast("string"))).alias("symbols"), (F.col("l_orderkey") % 4).cast("int").alias("confidence"), (F.col("l_partkey") % 5).cast("int").alias("severity")).distinct()
+    key = F.col("o_orderkey")
+    expires = F.when(key % 5 == 0, "").when(key % 7 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(24)))
+    ignores = table(spark, sf, "orders").select(key.cast("string").alias("module"), F.when(key % 3 == 0, F.concat(F.lit("s"), (key % 6).cast("string"))).otherwise("").alias("symbol"), expires.alias("expires"), (key % 2 == 0).alias("elevated"), copies.alias("k")).select("module", "symbol", "expires", "elevated", F.concat(F.lit("ADV-"), (F.col("k") * 2).cast("string")).alias("id"))
     return adv.drop_ignored(found, ignores, "1996-01-01").groupBy("id").agg(F.count("*").alias("n"))
 
 
@@ -139,10 +83,9 @@ def confusion_matrix(spark, sf):
 
 
 def _edges(spark, sf):
-    part = table(spark, sf, "part")
-    n = part.select(F.max("p_partkey").alias("n"))
-    rows = part.select(F.col("p_partkey").alias("src")).join(F.broadcast(n), F.lit(True))  # one row
-    return rows.select("src", F.explode(F.array((F.col("src") * 7 + 3) % F.col("n") + 1, (F.col("src") * 13 + 5) % F.col("n") + 1)).alias("dst"))
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("src"))
+    n = part.agg(F.max("src").alias("n")).first()["n"] or 1  # one number
+    return part.select("src", F.explode(F.array((F.col("src") * 7 + 3) % n + 1, (F.col("src") * 13 + 5) % n + 1)).alias("dst"))
 
 
 def reachable_set(spark, sf):
@@ -151,8 +94,8 @@ def reachable_set(spark, sf):
 
 
 def alias_components(spark, sf):
-    part = table(spark, sf, "part").filter("p_size % 5 != 0")
-    edges = part.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size") % 3 + 1).alias("dst"))
+    step = F.when(F.col("p_size") % 5 == 0, 0).otherwise(F.col("p_size") % 3 + 1)
+    edges = table(spark, sf, "part").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + step).alias("dst"))
     return graph.components(edges)
 
 
@@ -162,9 +105,10 @@ def vex_status(spark, sf):
 
 
 def coverage_gain(spark, sf):
-    part = table(spark, sf, "part")
-    ours, theirs = part.filter("p_size % 2 = 0").select("p_brand", "p_size"), part.filter("p_size % 3 = 0").select("p_brand", "p_size")
-    return ours.distinct().join(theirs, ["p_brand", "p_size"], "left_anti").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set(F.lpad(F.col("p_size").cast("string"), 3, "0"))), ",").alias("sizes"))
+    """What our records cover and the baseline's do not, by brand: the sides are two different tables."""
+    ours = table(spark, sf, "part").select("p_brand", F.col("p_size").cast("bigint").alias("size"))
+    theirs = table(spark, sf, "customer").select(F.concat(F.lit("Brand#"), (F.col("c_custkey") % 60).cast("string")).alias("p_brand"), (F.col("c_custkey") % 50).alias("size"))
+    return parity.gained(ours, theirs, ["p_brand"], "size").select("p_brand", F.array_join(F.transform("gained", lambda x: F.lpad(x.cast("string"), 3, "0")), ",").alias("sizes"))
 
 
 def line_state_scan(spark, sf):
@@ -190,13 +134,9 @@ def freshness_sla(spark, sf):
     return rows.select("event_type", age.alias("age"), (age > 172800).alias("stale"))
 
 
-_QUERIES = {f.__name__: f for f in (version_range_verdict, matched_versions, risk_tiers, cvss_v3_score, merge_resolve, dep_type_merge, ignore_antijoin, kev_epss_enrich, confusion_matrix, reachable_set, alias_components, vex_status, coverage_gain, line_state_scan, json_explode, url_normalise, freshness_sla)} | {"flagship_gate": flagship}
+_QUERIES = {f.__name__: f for f in (cvss_v3_score, merge_resolve, dep_type_merge, ignore_antijoin, kev_epss_enrich, confusion_matrix, reachable_set, alias_components, vex_status, coverage_gain, line_state_scan, json_explode, url_normalise, freshness_sla)}
 
 _ORACLES = {
-    "version_range_verdict": f"WITH {_ORACLE_MATCH} SELECT verdict, count(*) AS n FROM matched WHERE verdict <> 0 GROUP BY verdict",
-    "matched_versions": f"WITH {_ORACLE_MATCH} SELECT name, version, advisory, verdict FROM matched WHERE verdict <> 0",
-    "flagship_gate": f"WITH {_ORACLE_MATCH}, {_ORACLE_RISK} SELECT project, count(*) AS n_findings, max(score) AS max_risk, CASE WHEN bool_or(severity >= 3 AND verdict = 1) THEN 1 WHEN bool_or(verdict = 2) THEN 3 ELSE 0 END AS exit_code FROM scored GROUP BY project",
-    "risk_tiers": f"WITH {_ORACLE_MATCH}, {_ORACLE_RISK} SELECT CASE WHEN score >= 90 THEN 'critical' WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END AS tier, count(*) AS n FROM scored GROUP BY 1",
     "cvss_v3_score": _CVSS_SQL,
     "merge_resolve": """WITH s AS (SELECT DISTINCT l_partkey AS grp, l_suppkey AS k FROM lineitem),
       g AS (SELECT grp, arg_min('ID-' || k, {'a': k % 2 <> 0, 'b': CAST(k % 5 AS VARCHAR), 'c': -(k % 3), 'd': 'ID-' || k, 'e': k}) AS id, CAST(max(k % 5) AS INT) AS severity, string_agg(DISTINCT 'src' || (k % 4), ',' ORDER BY 'src' || (k % 4)) AS sources,
@@ -204,31 +144,43 @@ _ORACLES = {
       SELECT grp, id, severity, sources, array_to_string(list_sort(list_filter(names, lambda x: x <> id)), ',') AS aliases, withdrawn FROM g""",
     "dep_type_merge": """WITH d AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_returnflag = 'A' THEN 'dev' WHEN l_returnflag = 'R' THEN 'test' WHEN l_linestatus = 'O' THEN 'runtime' ELSE 'docs' END AS t FROM lineitem)
       SELECT l_partkey, CASE WHEN bool_or(t = 'runtime') THEN 'runtime' ELSE arg_min(t, pos) END AS dep_type FROM d GROUP BY l_partkey""",
-    "ignore_antijoin": """WITH f AS (SELECT DISTINCT 'ADV-' || l_partkey AS id, CAST(l_orderkey AS VARCHAR) AS module FROM lineitem), i AS (SELECT 'ADV-' || (o_custkey % 2000 + 1) AS id, CAST(o_orderkey AS VARCHAR) AS module FROM orders WHERE o_orderpriority = '1-URGENT' AND strftime(o_orderdate, '%Y-%m-%d') >= '1996-01-01')
-      SELECT id, count(*) AS n FROM f WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.id = f.id AND i.module = f.module) GROUP BY id""",
+    "ignore_antijoin": """WITH f AS (SELECT DISTINCT l_partkey % 50 AS a, l_orderkey AS k, l_partkey % 5 AS sev FROM lineitem),
+      i AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND CAST(o_orderdate AS DATE) >= DATE '1996-01-01')
+      SELECT 'ADV-' || a AS id, count(*) AS n FROM f WHERE NOT (k IN (SELECT k FROM i) AND a % 2 = 0 AND (k % 3 <> 0 OR k % 6 = k % 3) AND (NOT (k % 4 = 3 AND sev = 4) OR k % 2 = 0)) GROUP BY a""",
     "kev_epss_enrich": """WITH a AS (SELECT 'ADV-' || p_partkey AS advisory, unnest([1, 2, 3]) AS pos, unnest(['CVE-' || (p_partkey % 300), 'CVE-' || (p_partkey * 7 % 300), 'CVE-' || (p_partkey * 13 % 300)]) AS cve FROM part), e AS (SELECT 'CVE-' || user_id AS cve, max(event_id) AS value FROM events GROUP BY user_id)
       SELECT advisory, arg_min(value, pos) AS value FROM a JOIN e USING (cve) GROUP BY advisory""",
     "confusion_matrix": """WITH o AS (SELECT quality AS e, CASE WHEN doc_id % 7 <> 0 THEN toxic END AS g FROM labels),
       c AS (SELECT count(*) FILTER (e = 1 AND g = 1) AS tp, count(*) FILTER (e = 0 AND g = 1) AS fp, count(*) FILTER (e = 1 AND g = 0) AS fn, count(*) FILTER (e = 0 AND g = 0) AS tn, count(*) FILTER (g IS NULL AND e = 0) AS unknown, count(*) FILTER (g IS NULL AND e = 1) AS unknown_violation FROM o)
-      SELECT *, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END AS recall FROM c""",
+      SELECT *, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp::DOUBLE / (tp + fn) END AS recall, CASE WHEN tn + fp = 0 THEN 1.0::DOUBLE ELSE tn::DOUBLE / (tn + fp) END AS suppression FROM c""",
     "reachable_set": """WITH RECURSIVE n AS (SELECT max(p_partkey) AS n FROM part), e AS (SELECT p_partkey AS src, unnest([(p_partkey * 7 + 3) % n + 1, (p_partkey * 13 + 5) % n + 1]) AS dst FROM part, n),
       r AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 40) SELECT node, min(depth) AS depth FROM r GROUP BY node""",
     "vex_status": "SELECT p_partkey, CASE WHEN p_size % 4 = 1 AND p_size % 5 <> 0 THEN 'not_affected' WHEN p_size % 4 IN (2, 3) THEN 'affected' ELSE 'under_investigation' END AS status FROM part",
-    "coverage_gain": "SELECT p_brand, string_agg(DISTINCT lpad(CAST(p_size AS VARCHAR), 3, '0'), ',' ORDER BY lpad(CAST(p_size AS VARCHAR), 3, '0')) AS sizes FROM part p WHERE p_size % 2 = 0 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_size % 3 = 0 AND q.p_brand = p.p_brand AND q.p_size = p.p_size) GROUP BY p_brand",
+    "coverage_gain": """SELECT p_brand, string_agg(DISTINCT lpad(CAST(p_size AS VARCHAR), 3, '0'), ',' ORDER BY lpad(CAST(p_size AS VARCHAR), 3, '0')) AS sizes FROM part p
+      WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE 'Brand#' || (c_custkey % 60) = p.p_brand AND c_custkey % 50 = p.p_size) GROUP BY p_brand""",
     "line_state_scan": r"""WITH l AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
       m AS (SELECT *, sum(CAST(line LIKE '%|%' AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM l),
       g AS (SELECT doc_id, section, count(*) FILTER (line NOT LIKE '%|%') AS n FROM m GROUP BY doc_id, section) SELECT doc_id, CAST(max(section) AS INT) AS sections, CAST(max(n) AS INT) AS longest FROM g GROUP BY doc_id""",
     "json_explode": "SELECT event_type, CAST(sum(k) AS BIGINT) AS total, count(k) AS n FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS INT) AS k FROM events) GROUP BY event_type",
     "url_normalise": r"SELECT page_id, m AS module, split_part(m, '/', -1) AS last FROM (SELECT page_id, regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '(\.git)?/*$', '') AS m FROM pages)",
     "freshness_sla": "SELECT event_type, age, age > 172800 AS stale FROM (SELECT event_type, CAST(epoch(TIMESTAMP '2024-02-01') - floor(epoch(max(ts))) AS BIGINT) AS age FROM events GROUP BY event_type)",
-    "alias_components": """WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey + p_size % 3 + 1 AS dst FROM part WHERE p_size % 5 <> 0), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+    "alias_components": """WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey + CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_size % 3 + 1 END AS dst FROM part), u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
       r AS (SELECT src AS node, src AS seen FROM u UNION SELECT r.node, u.dst FROM r JOIN u ON r.seen = u.src) SELECT node, min(seen) AS component FROM r GROUP BY node""",
 }
 
 
+_PARTS = (scan, more, reach, rules, files)
+flagship = scan.QUERIES["flagship_gate"]
+
+
 def queries():
-    return {**_QUERIES, **more.QUERIES, **reach.QUERIES}
+    out = dict(_QUERIES)
+    for part in _PARTS:
+        out.update(part.QUERIES)
+    return out
 
 
 def oracle_sql():
-    return {**_ORACLES, **more.ORACLES, **reach.ORACLES}
+    out = dict(_ORACLES)
+    for part in _PARTS:
+        out.update(part.ORACLES)
+    return out
