@@ -53,10 +53,63 @@ def test_lm_base_and_mass(docs, none):
     inside = np.exp(model.inner[0, 0])
     for k in np.unique(model.word_class):  # each class sums to one
         assert abs(inside[model.word_class == k].sum() - 1) < 1e-4
+    assert abs(sum(model.form_mass) - 0.5 * lm_score.FORMS) < 1e-9  # a small vocabulary is all in classes by frequency
     model, counts = lm_score.train(none)
     assert lm_score.score(none, model, counts).count() == 0 and lm_score.score(docs, model, counts).count() == len(tokens)
 
 
+
+def plain_score(t, model, counts):
+    """log10 probability of a text, token by token."""
+    total, reader = 0.0, lm_score.Reader(model)
+    h, ids, buckets, classes, c1, c2, _ = reader.contexts([t])
+    for i in range(len(h)):
+        logits = model.bias + sum(model.weights[f][buckets[f, i]] for f in range(lm_score.TEMPLATES))
+        p = np.exp(logits - logits.max())
+        total += np.log10(p[classes[i]] / p.sum())
+        if ids[i] < reader.words:
+            assert classes[i] == model.word_class[ids[i]]
+            total += model.inner[c1[i], c2[i], ids[i]] / np.log(10)
+        else:
+            total += np.log10(counts.get(int(h[i].view(np.int64)), 0) + 0.5) - np.log10(model.form_mass[classes[i] - lm_score.FREQUENT])
+    return total
+
+
+def test_lm_score_is_a_probability(spark, monkeypatch):
+    """Scores token by token, with words beyond the lookup; the masses of all words and one unknown of each form sum to one."""
+    monkeypatch.setattr(lm_score, "LOOKUP", 600)
+    monkeypatch.setattr(lm_score, "MODEL_WORDS", 150)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model, table_ = lm_score.train(docs)
+    rows = table_.collect()
+    counts = {r.h: r.c for r in rows}
+    assert len(rows) > len(model.lookup) > len(model.word_class) == 150 and model.n == sum(counts.values())
+    head = {int(h) for h in model.lookup[:150].view(np.int64)}
+    for form in range(lm_score.FORMS):
+        assert abs(model.form_mass[form] - 0.5 - sum(r.c + 0.5 for r in rows if r.form == form and r.h not in head)) < 1e-6
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    got = {r.doc_id: r.score for r in lm_score.score(docs, model, table_).collect()}
+    for i in sorted(texts)[:25]:
+        assert abs(got[i] - plain_score(texts[i], model, counts)) < 1e-3 * (1 + abs(got[i]) / 100), i
+
+
+def test_lm_is_the_same_for_any_partitioning(spark, monkeypatch):
+    """Many shards; one partition and 64 give the same scores, and held-out text gains on the base either way."""
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 10_000)
+    monkeypatch.setattr(lm_score, "BATCH", 1 << 12)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    out = []
+    for n in (1, 64):
+        frame = docs.repartition(n)
+        model, counts = lm_score.train(frame.filter(lm_score.remainder("doc_id", 5) != 1))
+        rows = lm_score.score(frame, model, counts).orderBy("doc_id").collect()
+        out.append(np.array([(r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in rows]))
+    assert round(model.n / lm_score.SHARD_TOKENS) > 4
+    assert np.array_equal(out[0][:, :3], out[1][:, :3]) and np.allclose(out[0], out[1], rtol=1e-5)
+    held = np.array([zlib.crc32(str(int(i)).encode()) % 5 == 1 for i in out[0][:, 0]])
+    assert (out[0][held, 4] - out[0][held, 3]).sum() > 0
+
+
 # 2
 SECRETS = [
     'password = "hunter22" and token:abc123 api-key=zzzzzz API_KEY=Abcdef/+=x',

@@ -94,14 +94,14 @@ def _byte_codes() -> np.ndarray:
 _CODES = _byte_codes()
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 64-bit hashes of the words in bytes that end with white space: a polynomial of the bytes' codes."""
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and 64-bit hashes of the words in bytes that end with white space: a polynomial of the bytes' codes, without the case of A-Z."""
     codes = _CODES[data]
     inside = codes != 0
     edges = np.flatnonzero(np.diff(inside, prepend=False))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
-        return starts, np.zeros(0, dtype=np.uint64)
+        return starts, starts, np.zeros(0, dtype=np.uint64)
     lengths = ends - starts
     codes = codes[inside]
     offsets = np.cumsum(lengths) - lengths
@@ -109,14 +109,14 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     powers = np.cumprod(np.full(int(lengths.max()), _MIX[1], dtype=np.uint64))
     h = np.add.reduceat(codes * powers[at], offsets) + lengths.astype(np.uint64) * _MIX[3]
     h = (h ^ (h >> np.uint64(32))) * _MIX[0]
-    return starts, h ^ (h >> np.uint64(29))
+    return starts, lengths, h ^ (h >> np.uint64(29))
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """For each text, the sorted distinct hashes of its n-grams; of the whole sequence, if it is shorter."""
     data = b"\n".join(texts) + b"\n"
     ends = np.cumsum([len(t) + 1 for t in texts])
-    starts, h = word_hashes(np.frombuffer(data, dtype=np.uint8))
+    starts, _, h = word_hashes(np.frombuffer(data, dtype=np.uint8))
     limits = np.concatenate(([0], np.searchsorted(starts, ends))).tolist()
     grams = np.full(max(len(h) - n + 1, 0), np.uint64(0x5EED), dtype=np.uint64)
     for k in range(n):

@@ -197,14 +197,14 @@ def train(docs: DataFrame) -> Network | None:
 
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score: a row for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = docs.sparkSession.sparkContext.broadcast(None if net is None else vars(net))  # plain values: workers need no package of ours
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
             for part in pieces(batch):
                 if scorer is None and shared.value is not None:
-                    scorer = Scorer(shared.value)
+                    scorer = Scorer(Network(**shared.value))
                 texts = [x.as_buffer().to_pybytes() for x in part.column(1)]
                 langs, scores = ["und"] * len(texts), [0.0] * len(texts)
                 where = [i for i, t in enumerate(texts) if scorer is not None and has_letter(t)]
