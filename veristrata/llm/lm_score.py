@@ -16,10 +16,9 @@ of hashes, and takes gradient steps (with rates by feature) of BATCH tokens. The
 shards' weights are averaged, each feature by how often a shard saw it. How many
 shards there are, what they hold and in which order depends on the text alone:
 the result is the same for any partitioning and any number of machines, up to
-rounding, and more text means more shards, not smaller ones. The number of
-buckets grows with the text as well, from LEAST_BUCKETS to MOST_BUCKETS; a shard's
-weights, and what a worker holds, have at most that size. Counts are whole numbers
-throughout. Scoring: sparse numpy batches, with one join for the words that are
+rounding, and more text means more shards, not smaller ones. The counts, which
+grow with the text, stay in a table; the weights have a fixed number of buckets
+(BUCKETS), as a shard's have. Counts are whole numbers throughout. Scoring: sparse numpy batches, with one join for the words that are
 too rare for the bounded lookup table that each worker holds.
 
 Words are told apart by 64-bit hashes; a collision is possible and not expected.
@@ -50,9 +49,8 @@ MODEL_WORDS = 2048
 #: Classes by frequency, and by form.
 FREQUENT, FORMS = 20, 12
 CLASSES = FREQUENT + FORMS
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 13, 1 << 15
-#: Training tokens for each bucket of a template.
-PER_BUCKET = 2048
+#: Feature buckets of a template, at any size of the text: what a shard sends and a worker holds is bounded by them.
+BUCKETS = 1 << 14
 TEMPLATES = 4
 SHARD_TOKENS = 4_000_000
 BATCH = 1 << 16
@@ -306,8 +304,7 @@ def plan(counts: DataFrame) -> LanguageModel:
     n, v = sum(x for x, _ in totals.values()), sum(x for _, x in totals.values())
     top = frequent(counts, LOOKUP)
     lookup, own = np.array([h for h, _, _ in top], dtype=np.int64).view(np.uint64), np.array([c for _, _, c in top], dtype=np.int64)
-    buckets = 1 << max(0, int(n / PER_BUCKET)).bit_length()
-    model = LanguageModel(lookup, own, int(n), int(v), plan_classes(own), np.zeros(CLASSES, np.float32), min(max(buckets, LEAST_BUCKETS), MOST_BUCKETS))
+    model = LanguageModel(lookup, own, int(n), int(v), plan_classes(own), np.zeros(CLASSES, np.float32), BUCKETS)
     words = len(model.word_class)
     sizes = np.zeros(CLASSES)
     sizes[:FREQUENT] = np.bincount(model.word_class, weights=own[:words], minlength=FREQUENT)[:FREQUENT] if words else 0
@@ -372,12 +369,13 @@ def train(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
     kind = "kind int, block int, salt int, sums binary"
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.pmod(F.xxhash64(text_of()), F.lit(shards)).cast("int").alias("shard"), text_of().cast("binary").alias("text"), F.xxhash64(text_of(), F.lit(7)).alias("order"))
-    rows = rows.repartition(max(partitions, min(shards, 4 * partitions)), "shard").sortWithinPartitions("shard", "order").select("shard", "text")
+    # A shard goes to the task of its number, so no task has two while others have none.
+    rows = rows.repartitionById(min(shards, 4 * partitions), F.pmod("shard", F.lit(min(shards, 4 * partitions)))).sortWithinPartitions("shard", "order").select("shard", "text")
     sums = rows.mapInArrow(learn, kind).repartition(partitions, "kind", "block", "salt").mapInArrow(add_up, kind).repartition(partitions, "kind", "block").mapInArrow(add_up, kind)
     k, words = CLASSES + 1, max(1, len(model.word_class))
     shapes = [(TEMPLATES, model.buckets), (k, words), (k, words), (k, k, CLASSES)]
     found: tuple[dict, dict] = ({}, {})
-    for r in sums.collect():  # the model: MOST_BUCKETS bounds its blocks
+    for r in sums.collect():  # the model: BUCKETS and MODEL_WORDS bound its blocks
         found[r["kind"]][r["block"]] = np.frombuffer(r["sums"], dtype=np.int64 if r["kind"] else np.float32)
     parts = [np.zeros(s, dtype=np.int64) for s in shapes]
     model.weights = np.zeros((TEMPLATES, model.buckets, CLASSES), dtype=np.float32)
