@@ -4,7 +4,12 @@
 2. near_duplicates: one document of each group of near copies stays (five-word shingles, similarity 0.8).
 3. decontamination: documents that overlap with a benchmark item go.
 4. secrets: secrets are replaced by [SECRET]; all documents stay.
-5. mixing: sources are mixed to target weights; a row for each document and epoch.
+5. mixing: sources are mixed to target weights; a row for each document and epoch, with its columns and redacted text.
+
+Each stage keeps all columns of documents, extra ones too, whatever their names; mixing adds n_tokens, epoch, block,
+block_key and doc_key (with a `_` at the end where a column of that name is there). In every stage null texts count
+as empty, texts of any length are read whole, a null doc_id is told from others by its text, repeated rows share a fate
+unless stated, and empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,18 +26,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group the smallest doc_id stays, of its equal rows the least by the other columns; rows without words stay, repeated ones too."""
     return jaccard_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated rows go or stay together; a document without words stays."""
     return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_chars follows the new text; rows without secrets, null texts among them, are as they were."""
     return secret_scan.redact(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A null source is the source ''; a source without words gives nothing. Repeated rows are separate documents; ties do not change what is taken."""
     return temperature_mix.mixture(docs)
 
 
