@@ -213,6 +213,34 @@ def test_quotes(spark):
     assert quote_threads.thread(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotes_against_sql(spark):
+    """Random threads with nested quotes, repeated and null rows, short lines, long texts and clashing columns."""
+    rng, rows = random.Random(13), []
+    says = ["ok", "no", "Let us meet at noon", "by the old bridge", "I  cannot come", "then at nine\n\nor at ten", "long " * 3000, ""]
+    for conv in range(40):
+        sent = []
+        for turn in range(rng.randint(1, 9)):
+            lines = []
+            for _ in range(rng.randint(0, 2)):
+                if sent and rng.random() < 0.8:
+                    old = rng.choice(sent).split("\n")
+                    some = old[: rng.randint(1, len(old))] if rng.random() < 0.5 else [rng.choice(old)]
+                    lines += [rng.choice(["> ", ">", " > "]) + x for x in some]
+                lines.append(rng.choice(says) + rng.choice(["", f" {conv} {turn}"]))
+            sent.append("\n".join(lines).upper() if rng.random() < 0.1 else "\n".join(lines))
+            rows.append((conv if rng.random() > 0.03 else None, turn if rng.random() > 0.03 else None, rng.choice(["user", "assistant"]), sent[-1] if rng.random() > 0.05 else None, "x"))
+        if rng.random() < 0.2:
+            rows.append(rows[-1])
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, path string").repartition(3)
+    con = duckdb.connect()
+    con.register("conversations", frame.drop("path").toArrow())
+    columns = ["conv_id", "turn", "role", "body", "n_quotes", "parent_turn", "path"]
+    want = con.sql(quote_threads.ORACLE_SQL["op3_quote_threads"]).project(", ".join(columns)).fetchall()
+    got = [(*r[:6], ".".join(map(str, r[6])) if r[1] is not None else "") for r in map(tuple, quote_threads.thread(frame).select(*columns).collect())]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) == len(rows)
+    assert sum(r[5] is not None for r in got) > 30 and any(r[6].count(".") > 2 for r in got)
+
+
 # 4
 def brute_components(sets, similarity):
     root = list(range(len(sets)))
@@ -323,6 +351,79 @@ def test_jpeg_round_trip():
         media_jpeg.decode_many([b"nothing"])
 
 
+class Bits:
+    """Entropy-coded data, stuffed, padded with ones."""
+
+    def __init__(self):
+        self.text = ""
+
+    def put(self, value, n):
+        self.text += f"{value:0{n}b}" if n else ""
+
+    def coefficient(self, x):
+        n = abs(x).bit_length()
+        self.put(x if x > 0 else x + (1 << n) - 1, n)
+
+    def data(self):
+        whole = self.text + "1" * (-len(self.text) % 8)
+        return bytes(int(whole[i : i + 8], 2) for i in range(0, len(whole), 8)).replace(b"\xff", b"\xff\x00")
+
+
+def foreign_jpeg(rng, width, height, samplings, interval, dc_length, ac_length, step):
+    """A baseline JPEG with random DC and AC coefficients, and its luminance thumbnail; codes of one length each."""
+    categories, symbols = list(range(12)), [0x00, 0xF0, *(r << 4 | s for r in range(16) for s in (1, 2, 3, 7))]
+    code = {"dc": {s: i for i, s in enumerate(categories)}, "ac": {s: i for i, s in enumerate(symbols)}}
+    table_ = lambda kind, length, values: media_jpeg.segment(media_jpeg.DHT, bytes([kind]) + bytes(len(values) if i + 1 == length else 0 for i in range(16)) + bytes(values))
+    single = len(samplings) == 1
+    h, v = (1, 1) if single else (max(x for x, _ in samplings), max(y for _, y in samplings))
+    across, down = -(-width // (8 * h)), -(-height // (8 * v))
+    first = (1, 1) if single else samplings[0]
+    luma, previous, parts, bits = np.zeros((down * first[1], across * first[0]), dtype=np.int64), [0] * len(samplings), [], Bits()
+    for mcu in range(across * down):
+        if interval and mcu and mcu % interval == 0:
+            parts.append(bits.data())
+            previous, bits = [0] * len(samplings), Bits()
+        for c, (x, y) in enumerate([(1, 1)] if single else samplings):
+            for block in range(x * y):
+                dc = rng.choice([0, 1, -1, rng.randint(-1000, 1000), previous[c]])
+                difference, previous[c] = dc - previous[c], dc
+                bits.put(code["dc"][abs(difference).bit_length()], dc_length)
+                bits.coefficient(difference)
+                at = 1
+                while at < 64:
+                    run = rng.choice([0, 1, 5, 20, 80])
+                    if at + run > 63:
+                        bits.put(code["ac"][0x00], ac_length)
+                        break
+                    for _ in range(run // 16):
+                        bits.put(code["ac"][0xF0], ac_length)
+                    n = rng.choice([1, 2, 3, 7])
+                    bits.put(code["ac"][run % 16 << 4 | n], ac_length)
+                    bits.coefficient(rng.choice([1, -1]) * rng.randint(1 << (n - 1), (1 << n) - 1))
+                    at += run + 1
+                if c == 0:
+                    luma[mcu // across * first[1] + block // first[0], mcu % across * first[0] + block % first[0]] = dc
+    parts.append(bits.data())
+    head = bytes((0xFF, media_jpeg.SOI)) + media_jpeg.segment(0xFE, b"a comment") + media_jpeg.segment(media_jpeg.DQT, bytes([0, step]) + bytes([3] * 63))
+    head += media_jpeg.segment(media_jpeg.SOF0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(samplings)]) + b"".join(bytes([i + 1, x << 4 | y, 0]) for i, (x, y) in enumerate(samplings)))
+    head += table_(0x00, dc_length, categories) + table_(0x10, ac_length, symbols)
+    head += media_jpeg.segment(media_jpeg.DRI, interval.to_bytes(2, "big")) if interval else b""
+    head += media_jpeg.segment(media_jpeg.SOS, bytes([len(samplings)]) + b"".join(bytes([i + 1, 0]) for i in range(len(samplings))) + bytes([0, 63, 0]))
+    scan = b"".join(p + (bytes((0xFF, 0xD0 + i % 8)) if i < len(parts) - 1 else b"") for i, p in enumerate(parts))
+    wide, high = -(-width * first[0] // (8 * h)), -(-height * first[1] // (8 * v))
+    return head + scan + bytes((0xFF, media_jpeg.EOI)), np.clip((luma * step + 4) // 8 + 128, 0, 255)[:high, :wide]
+
+
+def test_jpegs_of_other_encoders():
+    """AC coefficients, long runs and codes, 4:2:0 and other samplings, odd sizes, with and without restart intervals."""
+    rng, made = random.Random(14), []
+    for samplings in ([(1, 1)], [(2, 2)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)], [(1, 2), (1, 1), (1, 1)], [(1, 1)] * 3):
+        for interval, dc_length, ac_length, step in ((0, 4, 8, 1), (3, 12, 16, 8), (1, 16, 7, 3)):
+            made.append(foreign_jpeg(rng, rng.randint(1, 70), rng.randint(1, 60), samplings, interval, dc_length, ac_length, step))
+    for (data, _), images, (_, want) in zip(made, media_jpeg.decode_many([d for d, _ in made]), made, strict=True):
+        assert len(images) == 1 and np.array_equal(images[0], want), data[:40]
+
+
 def test_media(docs, none):
     got = media_jpeg.media_columns(docs).collect()
     for r in got:

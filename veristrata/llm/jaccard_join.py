@@ -520,7 +520,9 @@ def keep_one(docs: DataFrame, similarity: Similarity | None = None) -> DataFrame
     text, the least by the other columns, in their order.
     """
     known, roots = grouped(docs, similarity or Similarity())
-    first = known.join(roots, "key").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one"))
+    # Of each class first, so that many copies are one row before they meet.
+    first = known.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one"))
+    first = first.join(roots, "key").groupBy("root").agg(F.min("one").alias("one"))
     kept = first.select(F.coalesce("one.doc_id", F.lit(-1)).alias("doc"), "one.no_id", "one.text_hash")
     worded = text_of().rlike(f"[^{SPACE}]")
     rows = packed(docs.filter(worded), **identity()).join(kept, IDENTITY, "left_semi")

@@ -16,8 +16,10 @@ conversation in reply order, with quotes taken out of `body`. Paths double in
 length each round, so rounds grow with the logarithm of the deepest chain.
 
 Null texts have an empty body. Null conv_id or turn: the row stays on its own,
-links with nothing. Repeated rows get a row each. Lines of less than LEAST
-characters link only as parts of passages.
+links with nothing. Repeated rows get a row each; rows of one conversation and
+turn share their quotes' links. Of several sources the latest counts. Lines of
+any length link, and texts of any length are read whole. Empty tables give no
+rows. Columns beyond conv_id, turn, role and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from veristrata.llm.common import text_of
 from veristrata.session import cut, table
 
-LEAST = 8
 MARKS = r"^((?:[ ]?>)+)[ ]?"
 
 
@@ -58,7 +59,7 @@ def hashes(text: str, with_lines: bool) -> str:
     """SQL for the distinct hashes of a passage, and of its lines."""
     parts = f"array({normal(text)})"
     if with_lines:
-        parts = f"concat({parts}, transform(split({text}, '\\n[ \\t]*\\n'), x -> {normal('x')}), filter(transform(split({text}, '\\n'), x -> {normal('x')}), x -> char_length(x) >= {LEAST}))"
+        parts = f"concat({parts}, transform(split({text}, '\\n[ \\t]*\\n'), x -> {normal('x')}), transform(split({text}, '\\n'), x -> {normal('x')}))"
     return f"array_distinct(transform(filter({parts}, x -> x != ''), x -> sha2(x, 256)))"
 
 
@@ -106,7 +107,7 @@ _NORMAL = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
 
 def _duck_hashes(text: str) -> str:
     n = _NORMAL.format
-    return f"list_distinct(list_transform(list_filter([{n(text)}] || list_transform(string_split_regex({text}, '\\n[ \\t]*\\n'), lambda x: {n('x')}) || list_filter(list_transform(string_split({text}, chr(10)), lambda x: {n('x')}), lambda x: length(x) >= {LEAST}), lambda x: x != ''), lambda x: sha256(x)))"
+    return f"list_distinct(list_transform(list_filter([{n(text)}] || list_transform(string_split_regex({text}, '\\n[ \\t]*\\n'), lambda x: {n('x')}) || list_transform(string_split({text}, chr(10)), lambda x: {n('x')}), lambda x: x != ''), lambda x: sha256(x)))"
 
 
 ORACLE_SQL = {

@@ -141,12 +141,13 @@ def cuts(documents: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
     return end.select("source", "end.at", "end.left")
 
 
-def mix(documents: DataFrame, plan: DataFrame, seed: str = SEED) -> DataFrame:
+def mix(documents: DataFrame, plan: DataFrame, seed: str = SEED, own: DataFrame | None = None) -> DataFrame:
     """A row for each document and epoch that takes it, with the keys that order the epoch: block, epoch, block_key, doc_key.
 
-    Order: epoch, block_key, doc_key. documents has OWN, as from sizes(), and may have more; plan is as from weights().
+    Order: epoch, block_key, doc_key. documents has OWN, as from sizes(), and may have more; plan is as from weights(); own, if
+    given, is sizes() of the same documents, as a written table.
     """
-    ends = cut(cuts(documents.select(*OWN), plan, seed))
+    ends = cut(cuts((documents if own is None else own).select(*OWN), plan, seed))
     here = F.struct("cut_key", "block")
     placed = place(documents, plan, seed).join(ends, "source")
     key = lambda epoch: F.md5(F.concat_ws("|", F.lit(seed), _ident(), epoch.cast("string")).cast("binary"))
@@ -165,10 +166,11 @@ ADDED = ["n_tokens", "epoch", "block", "block_key", "doc_key"]
 
 def mixture(docs: DataFrame, budget: int | None = None, entropy: float | None = ENTROPY, max_repeats: float | None = None) -> DataFrame:
     """The columns of docs, texts included, and ADDED: a row for each document and epoch that takes it."""
-    plan = cut(weights(cut(sizes(docs)), budget, entropy, max_repeats))
+    measured = cut(sizes(docs))
+    plan = cut(weights(measured, budget, entropy, max_repeats))
     own = packed(docs, doc_id=F.col("doc_id").cast("long"), source=F.coalesce(F.col("source").cast("string"), F.lit("")), text=text_of())
     rows = own.select("row", "doc_id", "source", n_words().alias("n_tokens"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
-    mixed, names = mix(rows, plan), []
+    mixed, names = mix(rows, plan, own=measured), []
     for name in ADDED:
         while name.lower() in {c.lower() for c in [*docs.columns, *names]}:
             name += "_"
