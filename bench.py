@@ -9,7 +9,7 @@ import time
 from veristrata.plans import catalog
 from veristrata.session import local_session
 
-HEADLINES = ("flagship_gate", "matched_versions", "risk_tiers", "cvss_v3_score", "merge_resolve", "dep_type_merge", "kev_epss_enrich", "ignore_antijoin", "alias_components")
+HEADLINES = ("flagship_gate", "matched_versions", "risk_tiers", "cvss_v3_score", "merge_resolve", "dep_type_merge", "kev_epss_enrich", "ignore_antijoin", "alias_components", "project_scan", "call_paths")
 
 
 def main() -> None:

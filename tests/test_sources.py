@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from veristrata.sources import feeds, lockfiles
 
 FILES = {
+    "go-list.json": ('{\n\t"Path": "main/m",\n\t"Main": true\n}\n{\n\t"Path": "a.b/c",\n\t"Version": "v1.2.3",\n\t"Replace": {\n\t\t"Dir": "x"\n\t}\n}\n', {("a.b/c", "v1.2.3", "runtime")}),
     "gradle.lockfile": ("# c\norg.a:b:1.0=compileClasspath,testX\norg.a:t:2.0=testRuntime,testCompile\nempty=\n", {("org.a:b", "1.0", "runtime"), ("org.a:t", "2.0", "test")}),
     "composer.lock": (json.dumps({"packages": [{"name": "A/b", "version": "v1.2"}], "packages-dev": [{"name": "c/d", "version": "3"}]}), {("a/b", "1.2", "runtime"), ("c/d", "3", "dev")}),
     "Gemfile.lock": ("﻿PATH\n  specs:\n    own (0.1)\n\nGEM\n  specs:\n    rack (2.0.1)\n      dep (>= 1)\n    noko (1.2-x86_64-linux)\n    noko (1.2)\n\nPLATFORMS\n    ruby (1)\n", {("rack", "2.0.1", "runtime"), ("noko", "1.2", "runtime")}),
@@ -179,3 +180,26 @@ def test_constraints():
     cases = {">=1.0 <2.0": [r("1.0", "2.0")], "^0.2.3": [r("0.2.3", "0.3.0")], "^1.2": [r("1.2", "2.0.0")], "^0.0.3": [r("0.0.3", "0.0.4")], "^0.0": [r("0.0", "0.1.0")], "^0": [r("0", "1.0.0")], "~1.2.3": [r("1.2.3", "1.3.0")], "~1": [r("1", "2.0.0")], "*": [r(b="9")], ">1 || ==3": [r("1"), r("3", c="3")], "[1,2)": [r("1", "2")], "(,2],[3]": [r(c="2"), r("3", c="3")], "1.2.3": [r("1.2.3", c="1.2.3")], "(1,)": [r("1")], "<=2,>=1": [r("1", c="2")], "": None, "<": None, "[1": None, "abc": None, "^x": None, "[]": None}
     assert {k: constraint_ranges(k, ["9"]) for k in cases} == cases
     assert constraint_ranges(">=1", ["2", "3"]) == [r("1")] and constraint_ranges(">=1", None) == [r("1")] and constraint_ranges(None) is None
+
+
+def test_workspaces_and_entries(spark):
+    from veristrata.policy import Policy
+    from veristrata.sources import projects
+
+    manifests = spark.createDataFrame([("p", "", "root"), ("p", "packages/a", None), ("p", "packages/b", "bee"), ("p", "packages/a/deep", "no"), ("p", "x", "ex"), ("q", "", None), ("q", "packages/a", "a")], "project string, folder string, name string")
+    globs = spark.createDataFrame([("p", "packages/*"), ("p", "./x/"), ("p", "gone"), ("p", "!packages/b")], "project string, glob string")
+    assert {(r["project"], r["folder"], r["name"]) for r in projects.workspaces(manifests, globs).collect()} == {("p", "packages/a", "a"), ("p", "x", "ex"), ("q", "", "")}
+    assert [tuple(r) for r in projects.missing_workspaces(manifests, globs).collect()] == [("p", "gone")]
+    texts = {"app": {"bin": {"b": "./cli"}, "main": "m.js"}, "lib": {"main": "src/m", "bin": ""}, "exp": {"exports": {".": {"import": "./e.mjs", "default": "./d.js"}}, "main": "m.js"}, "one": {"exports": "./o.js", "private": True}, "idx": {}, "none": {}}
+    rows = spark.createDataFrame([("p", k, json.dumps(v)) for k, v in texts.items()], "project string, folder string, content string")
+    files = spark.createDataFrame([("p", f) for f in ("app/cli.ts", "app/m.js", "lib/src/m.cjs", "idx/index.ts", "idx/index.mjs")], "project string, path string")
+    got = {(r["folder"], r["file"], r["kind"]) for r in projects.entry_files(rows, files).collect()}
+    assert got == {("app", "app/cli.ts", "bin"), ("app", "app/m.js", "main"), ("lib", "lib/src/m.cjs", "main"), ("exp", "exp/e.mjs", "exports"), ("one", "one/o.js", "exports"), ("idx", "idx/index.mjs", "main")}
+    scope = projects.reduced_scope(spark.createDataFrame([("p", "a"), ("p", "b")], "project string, package string"), spark.createDataFrame([("p", "a", "x"), ("p", "b", "x"), ("p", "b", "y"), ("p", "c", "z")], "project string, package string, dep string"))
+    assert [(r["project"], r["could_reach"]) for r in scope.collect()] == [("p", ["x", "y"])]
+    named = projects.named_weaknesses(spark.createDataFrame([("A", ["CWE-79", "CWE-1"])], "id string, cwes array<string>"), spark.createDataFrame([("CWE-79", "XSS")], "cwe string, name string"))
+    assert [tuple(r) for r in named.collect()] == [("A", "CWE-79: XSS; CWE-1")]
+    policy = Policy.from_text("fail-on: critical\ngate-on: kev\nignores:\n- advisory-id: A\n  module: m\n  reason: r\n  expires-at: 2030-01-01\n  elevated-ignore: true\n")
+    assert policy.on_kev and policy.tier == "reachable+unknown" and policy.ignores == [{"id": "A", "module": "m", "reason": "r", "expires": "2030-01-01", "elevated": True}]
+    with pytest.raises(ValueError):
+        Policy.from_text("fail_on: high")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veristrata.functions import grammars
 from veristrata.operators import graph, reach
 from veristrata.session import table
-from veristrata.sources import code, feeds, lockfiles
+from veristrata.sources import code, feeds, lockfiles, projects
 
 
 def _lines(spark, sf, line, head="", tail="", joint="\n"):
@@ -244,9 +244,55 @@ def script_frontiers(spark, sf):
     return frontiers.groupBy("reason").agg(F.count("*").alias("n")).union(seen.agg(F.lit("reached").alias("reason"), F.count("*").alias("n")))
 
 
-QUERIES = {f.__name__: f for f in (read_gradle, read_gems, read_hex, read_pub, read_swift, read_nuget, read_pom, read_npm_family, read_python_family, cargo_closure, projects_found, platforms, osv_records, module_records, graph_records, tree_records, tool_reports, range_grammar, patch_lines, python_sources, script_frontiers)}
+def read_go_list(spark, sf):
+    k, s = _key()
+    return _read(spark, sf, "go-list.json", _text('{\n\t"Path": "mod/m', k, '",\n', F.when(s % 8 == 0, '\t"Main": true').otherwise(_text('\t"Version": "v1.', s, '.0"')), "\n}"))
+
+
+def workspace_folders(spark, sf):
+    k, s = _key()
+    part = table(spark, sf, "part")
+    folder = F.when(s % 4 == 0, "").when(s % 4 == 1, _text("packages/w", k)).when(s % 4 == 2, _text("packages/w", k, "/deep")).otherwise(_text("apps/v", k))
+    manifests = part.select(F.col("p_brand").alias("project"), folder.alias("folder"), F.when(k % 2 == 0, _text("n", k)).alias("name"))
+    odd = F.col("p_brand").rlike("[13579]$")
+    globs = part.filter(odd).select(F.col("p_brand").alias("project"), F.explode(F.array(F.lit("packages/*"), F.lit("./apps/**"), F.lit("!apps/v1*"), F.lit("gone"))).alias("glob")).distinct()
+    found = projects.workspaces(manifests, globs).groupBy("project").agg(F.count("*").alias("n"), F.max("name").alias("last"))
+    return found.join(projects.missing_workspaces(manifests, globs).withColumnRenamed("folder", "missing"), "project", "left")
+
+
+def manifest_entries(spark, sf):
+    k, s = _key()
+    part = table(spark, sf, "part")
+    content = F.when(s % 4 == 0, '{"bin":{"x":"./cli"},"main":"m.js"}').when(s % 4 == 1, '{"exports":{".":{"require":"./r.cjs"}},"main":"m.js"}').when(s % 4 == 2, '{"main":"lib"}').otherwise("{}")
+    manifests = part.select(F.col("p_brand").alias("project"), _text("w", k).alias("folder"), content.alias("content"))
+    files = part.select(F.col("p_brand").alias("project"), F.explode(F.array(_text("w", k, "/cli.mjs"), _text("w", k, "/lib.ts"), F.when(k % 2 == 0, _text("w", k, "/index.cjs")), _text("w", k, "/index.ts"))).alias("path")).filter("path is not null")
+    return projects.entry_files(manifests, files)
+
+
+def weakness_names(spark, sf):
+    k, s = _key()
+    rows = table(spark, sf, "part").select(k.alias("id"), F.array(_text("CWE-", s), _text("CWE-", s + 1)).alias("cwes"))
+    names = table(spark, sf, "nation").select(_text("CWE-", F.col("n_nationkey")).alias("cwe"), F.col("n_name").alias("name"))
+    return projects.named_weaknesses(rows, names)
+
+
+def reduced_scopes(spark, sf):
+    line = table(spark, sf, "lineitem")
+    reached = table(spark, sf, "part").select((F.col("p_partkey") % 50).alias("project"), F.col("p_size").cast("bigint").alias("package")).distinct()
+    closures = line.select((F.col("l_partkey") % 50).alias("project"), (F.col("l_suppkey") % 90).alias("package"), _text("d", F.col("l_linenumber")).alias("dep"))
+    return projects.reduced_scope(reached, closures).select("project", F.array_join("could_reach", ",").alias("could_reach"))
+
+
+QUERIES = {f.__name__: f for f in (read_go_list, workspace_folders, manifest_entries, weakness_names, reduced_scopes, read_gradle, read_gems, read_hex, read_pub, read_swift, read_nuget, read_pom, read_npm_family, read_python_family, cargo_closure, projects_found, platforms, osv_records, module_records, graph_records, tree_records, tool_reports, range_grammar, patch_lines, python_sources, script_frontiers)}
 
 ORACLES = {
+    "read_go_list": "SELECT p_brand AS path, 'mod/m' || p_partkey AS name, 'v1.' || p_size || '.0' AS version, 'runtime' AS dep_type FROM part WHERE p_size % 8 <> 0",
+    "workspace_folders": """WITH m AS (SELECT p_brand AS project, regexp_matches(p_brand, '[13579]$') AS globs, p_size % 4 AS c, p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'n' || p_partkey END AS name FROM part),
+      w AS (SELECT DISTINCT project, globs, CASE WHEN globs THEN k END AS k, coalesce(name, CASE WHEN NOT globs THEN '' WHEN c = 1 THEN 'w' || k ELSE 'v' || k END) AS name FROM m WHERE CASE WHEN globs THEN c = 1 OR c = 3 AND NOT starts_with(CAST(k AS VARCHAR), '1') ELSE c = 0 END)
+      SELECT project, count(*) AS n, max(name) AS last, CASE WHEN any_value(globs) THEN 'gone' END AS missing FROM w GROUP BY project""",
+    "manifest_entries": """SELECT p_brand AS project, 'w' || p_partkey AS folder, 'w' || p_partkey || '/' || e.f AS file, e.k AS kind FROM (SELECT *, unnest(CASE p_size % 4 WHEN 0 THEN [{'f': 'cli.mjs', 'k': 'bin'}, {'f': 'm.js', 'k': 'main'}] WHEN 1 THEN [{'f': 'r.cjs', 'k': 'exports'}] WHEN 2 THEN [{'f': 'lib.ts', 'k': 'main'}] ELSE [{'f': CASE WHEN p_partkey % 2 = 0 THEN 'index.cjs' ELSE 'index.ts' END, 'k': 'main'}] END) AS e FROM part)""",
+    "weakness_names": "SELECT p_partkey AS id, 'CWE-' || p_size || coalesce(': ' || a.n_name, '') || '; CWE-' || (p_size + 1) || coalesce(': ' || b.n_name, '') AS weaknesses FROM part LEFT JOIN nation a ON a.n_nationkey = p_size LEFT JOIN nation b ON b.n_nationkey = p_size + 1",
+    "reduced_scopes": "SELECT l_partkey % 50 AS project, string_agg(DISTINCT 'd' || l_linenumber, ',' ORDER BY 'd' || l_linenumber) AS could_reach FROM lineitem WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey % 50 = l_partkey % 50 AND p_size = l_suppkey % 90) GROUP BY 1",
     "read_gradle": "SELECT p_brand AS path, 'g:a' || p_partkey AS name, p_size || '.0' AS version, CASE WHEN p_size % 4 = 0 THEN 'test' ELSE 'runtime' END AS dep_type FROM part",
     "read_gems": "SELECT DISTINCT p_brand AS path, 'gem' || p_partkey AS name, '1.' || p_size AS version, 'runtime' AS dep_type FROM part",
     "read_hex": "SELECT DISTINCT p_brand AS project, 'm' || (p_partkey % m) AS name, p_size || '.0.0' AS version FROM part, (SELECT unnest([40, 60]) AS m)",

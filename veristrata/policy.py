@@ -51,6 +51,25 @@ class Policy:
             if ignore.get("expires"):
                 datetime.date.fromisoformat(ignore["expires"])
 
+    @classmethod
+    def from_text(cls, text: str) -> Policy:
+        """From YAML (JSON, where no reader of YAML is installed): fail-on, gate-on, reachable-only and ignores. Unknown keys are errors."""
+        try:
+            import yaml
+        except ImportError:
+            import json
+
+            raw = json.loads(text or "{}")
+        else:
+            raw = yaml.safe_load(text) or {}
+        known = {"fail-on": "fail_on", "gate-on": "gate_on", "reachable-only": "reachable_only", "ignores": "ignores"}
+        odd = set(raw) - set(known)
+        if odd:
+            raise ValueError(f"unknown keys: {sorted(odd)}")
+        names = {"advisory-id": "id", "module": "module", "symbol": "symbol", "reason": "reason", "expires-at": "expires", "elevated-ignore": "elevated"}
+        ignores = [{names[k]: v.isoformat() if isinstance(v, datetime.date) else v for k, v in g.items() if k in names} for g in raw.get("ignores") or []]
+        return cls(**{known[k]: v for k, v in raw.items() if k != "ignores" and v is not None}, ignores=ignores)
+
     def ignore_rows(self, spark: SparkSession) -> DataFrame:
         rows = [(g["id"], g["module"], g.get("symbol", ""), g["reason"], g.get("expires", ""), bool(g.get("elevated"))) for g in self.ignores]
         return spark.createDataFrame(rows, IGNORES)
