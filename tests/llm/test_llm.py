@@ -319,8 +319,9 @@ def test_join_by_every_route(spark, monkeypatch, num):
     frame, similarity = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), jaccard_join.Similarity(4, num, 100)
     want, seen, real = brute_join(rows, similarity), [], jaccard_join.in_blocks
     monkeypatch.setattr(jaccard_join, "in_blocks", lambda texts, where, *a: seen.append(sorted({(r.whole, r.n > jaccard_join.CHUNK) for r in where.collect()})) or real(texts, where, *a))
-    for chunk, few in ((4096, 1 << 18), (8, 0), (3, 1 << 18)):
+    for chunk, small, few in ((4096, 10, 1 << 18), (8, 8, 0), (3, 2, 1 << 18)):
         monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+        monkeypatch.setattr(jaccard_join, "SMALL", small)
         monkeypatch.setattr(jaccard_join, "FEW_EDGES", few)
         assert joined(frame, similarity) == want
     assert seen[0] == [(True, False)] and (True, True) in seen[1] and {w for w, _ in seen[2]} == {False, True} and (False, True) in seen[2]

@@ -10,9 +10,9 @@ so far, and a subtree is left as soon as the elements that remain cannot make up
 the overlap needed. All links are exact.
 
 Copies (equal sets) are one class. Blocks that hang together are one block, to
-which each class is sent once, where that needs fewer comparisons. A block with
-more than CHUNK classes is split into chunks, and each pair of chunks is a task
-of its own: links are counted, so the work in a block grows with its pairs, but
+which each class is sent once, where that needs fewer comparisons. A block is
+split into chunks, of SMALL classes first and of CHUNK at most, and each pair of
+chunks is a task of its own: links are counted, so the work in a block grows with its pairs, but
 no pair leaves it. A block returns its classes' components and numbers of links;
 the components of all blocks are joined by alternating stars.
 
@@ -41,6 +41,8 @@ FREQUENT = 1 << 16
 #: A shingle is frequent if so many sets of one task have it.
 FREQUENT_LEAST = 16
 CHUNK = 4096
+#: Smaller blocks are split into up to SPLIT chunks of SMALL classes, so that a few groups do not hold up a stage.
+SMALL, SPLIT = 512, 8
 #: Elements in a node of the prefix tree's first level; the next levels' nodes hold twice as many each.
 FIRST_WIDTH = 16
 #: Edges, of 16 bytes, that one task may finish.
@@ -386,7 +388,8 @@ def links(docs: DataFrame, known: DataFrame, met: DataFrame, similarity: Similar
 def in_blocks(texts: DataFrame, where: DataFrame, similarity: Similarity, frequent: np.ndarray) -> DataFrame:
     """key, root, linked, as of links(). where: block, key, n (classes in the block), whole (whether the block is a group)."""
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = where.withColumn("parts", F.expr(f"cast((n + {CHUNK - 1}) div {CHUNK} as int)")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    parts = F.greatest(F.expr(f"(n + {CHUNK - 1}) div {CHUNK}"), F.least(F.lit(SPLIT), F.expr(f"(n + {SMALL - 1}) div {SMALL}"))).cast("int")
+    sent = where.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     sent = sent.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", "block", "whole", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     rows = texts.join(sent, "key").select("block", "whole", "i", "j", "own", "key", "size", "text")
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
