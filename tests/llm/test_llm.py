@@ -50,6 +50,7 @@ def test_lm_base_and_mass(docs, none):
     want = sorted((i or -1, len(w), round(sum(np.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 6)) for i, w in tokens)
     assert sorted((r.doc_id or -1, r.n_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.train_tokens == n and r.n_known == r.n_tokens and r.score < 0 for r in got)
+    assert sorted(r.n_once for r in got) == sorted(sum(c[x] == 1 for x in w) for _, w in tokens)
     inside = np.exp(model.inner[0, 0])
     for k in np.unique(model.word_class):  # each class sums to one
         assert abs(inside[model.word_class == k].sum() - 1) < 1e-4
@@ -89,6 +90,10 @@ def test_lm_score_is_a_probability(spark, monkeypatch):
         assert abs(model.form_mass[form] - 0.5 - sum(r.c + 0.5 for r in rows if r.form == form and r.h not in head)) < 1e-6
     texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
     got = {r.doc_id: r.score for r in lm_score.score(docs, model, table_).collect()}
+    of = {r.doc_id: (r.n_known, r.n_once) for r in lm_score.score(docs, model, table_).collect()}
+    for i in sorted(texts):
+        own = [counts[int(x)] for x in lm_score.read([texts[i]])[0].view(np.int64)]
+        assert of[i] == (len(own), own.count(1))
     for i in sorted(texts)[:25]:
         assert abs(got[i] - plain_score(texts[i], model, counts)) < 1e-3 * (1 + abs(got[i]) / 100), i
 

@@ -391,11 +391,11 @@ def train(docs: DataFrame) -> tuple[LanguageModel, DataFrame]:
 
 
 def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs."""
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, n_once (tokens that the training text has once): a row for each row of docs."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vars(model))
-    schema = "doc_id long, text_hash long, token long, tf int, own struct<n_tokens:long,n_known:long,base:double,model:double>"
-    own_type = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+    schema = "doc_id long, text_hash long, token long, tf int, own struct<n_tokens:long,n_known:long,n_once:long,base:double,model:double>"
+    own_type = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("n_once", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = None
@@ -404,7 +404,7 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
                 if reader is None:
                     m = LanguageModel(**shared.value)
                     reader = Reader(m)
-                    logs, masses = np.append(np.log10(m.counts + 0.5), 0.0), np.log10(m.form_mass)
+                    logs, masses, once = np.append(np.log10(m.counts + 0.5), 0.0), np.log10(m.form_mass), np.append(m.counts == 1, False)
                 h, ids, buckets, classes, c1, c2, lengths = reader.contexts([x.as_buffer().to_pybytes() for x in part.column(2)])
                 known, inside = ids < reader.known, ids < reader.words
                 base = logs[ids]
@@ -417,7 +417,7 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
                 value /= np.log(10)
                 value[~inside] += base[~inside] - masses[classes[~inside] - FREQUENT]
                 starts = np.cumsum(lengths) - lengths
-                n_known, sum_base, sum_value = (np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, value))
+                n_known, n_once, sum_base, sum_value = (np.add.reduceat(x, starts) for x in (known.astype(np.int64), once[ids].astype(np.int64), base, value))
                 # Words that the lookup lacks: a row for each text and word.
                 owner, other = np.repeat(np.arange(len(lengths)), lengths)[~known], h[~known]
                 order = np.lexsort((other, owner))
@@ -428,19 +428,19 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
                 rows = np.concatenate((owner[firsts], np.arange(len(lengths))))
                 doc_ids, hashes = part.column(0).take(pa.array(rows)), part.column(1).to_numpy()[rows]
                 tokens = np.concatenate((other[firsts].view(np.int64), hashes[len(firsts) :] ^ np.int64(0x5DEECE66D)))
-                mine = pa.StructArray.from_arrays([pa.array(lengths), pa.array(n_known), pa.array(sum_base), pa.array(sum_value)], fields=list(own_type))
+                mine = pa.StructArray.from_arrays([pa.array(lengths), pa.array(n_known), pa.array(n_once), pa.array(sum_base), pa.array(sum_value)], fields=list(own_type))
                 own = pa.concat_arrays([pa.nulls(len(firsts), own_type), mine])
                 yield pa.RecordBatch.from_arrays([doc_ids, pa.array(hashes), pa.array(tokens), pa.array(np.concatenate((tf, np.zeros(len(lengths), dtype=np.int64))).astype(np.int32)), own], names=["doc_id", "text_hash", "token", "tf", "own"])
 
     text = text_of()
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text")).mapInArrow(run, schema)
     c = F.coalesce(F.col("c"), F.lit(0))
-    kept = ("n_tokens", "n_known", "base", "model")
+    kept = ("n_tokens", "n_known", "n_once", "base", "model")
     sums = (
         rows.join(counts.select(F.col("h").alias("token"), "c"), "token", "left")
-        .select("doc_id", "text_hash", (F.col("tf") * F.log10(c + 0.5)).alias("rare_log"), F.when(c > 0, F.col("tf")).otherwise(0).alias("rare_known"), *[F.col(f"own.{k}").alias(k) for k in kept])
+        .select("doc_id", "text_hash", (F.col("tf") * F.log10(c + 0.5)).alias("rare_log"), F.when(c > 0, F.col("tf")).otherwise(0).alias("rare_known"), F.when(c == 1, F.col("tf")).otherwise(0).alias("rare_once"), *[F.col(f"own.{k}").alias(k) for k in kept])
         .groupBy("doc_id", "text_hash")
-        .agg(F.count("n_tokens").alias("copies"), F.sum("rare_log").alias("rare_log"), F.sum("rare_known").alias("rare_known"), *[F.max(k).alias(k) for k in kept])
+        .agg(F.count("n_tokens").alias("copies"), F.sum("rare_log").alias("rare_log"), F.sum("rare_known").alias("rare_known"), F.sum("rare_once").alias("rare_once"), *[F.max(k).alias(k) for k in kept])
     )
     rare_log = F.col("rare_log") / F.col("copies")
     low = float(np.log10(model.n + 0.5 * (model.v + 1)))
@@ -451,6 +451,7 @@ def score(docs: DataFrame, model: LanguageModel, counts: DataFrame) -> DataFrame
         F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") + rare_log - F.col("n_tokens") * F.lit(low)).alias("base_score"),
         (F.col("model") + rare_log).alias("score"),
+        (F.col("n_once") + (F.col("rare_once") / F.col("copies")).cast("long")).alias("n_once"),
         F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"),
     ).drop("copy")
 
@@ -459,7 +460,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, counts = train(docs.filter(remainder("doc_id", 5) != 1))
     scored = score(docs, model, counts)
-    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_once")
 
 
 QUERIES = {"op1_lm_score": op1}
