@@ -41,6 +41,8 @@ FREQUENT = 1 << 16
 #: A shingle is frequent if so many sets of one task have it.
 FREQUENT_LEAST = 16
 CHUNK = 4096
+#: Elements that a task counts at a time for the list of frequent ones.
+COUNTED = 2_000_000
 #: Smaller blocks are split into up to SPLIT chunks of SMALL classes, so that a few groups do not hold up a stage.
 SMALL, SPLIT = 512, 8
 #: Elements in a node of the prefix tree's first level; the next levels' nodes hold twice as many each.
@@ -299,7 +301,7 @@ def classes(docs: DataFrame, similarity: Similarity) -> DataFrame:
                         held.append(s)
                         size += len(s)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
-                if size > 4_000_000:
+                if size > COUNTED:
                     yield from often()
                     held.clear()
                     seen.clear()
