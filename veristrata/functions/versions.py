@@ -30,10 +30,16 @@ _STRICT = rf"^{_N}\.{_N}\.{_N}(?:-({_PRE}(?:\.{_PRE})*))?(?:\+[0-9A-Za-z-]+(?:\.
 _INT = "[0-9]{1,18}"
 
 
+def _bind(value: Column, function) -> Column:
+    """function(value), with the value computed once however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def _number(digits: Column) -> Column:
-    """Digits of any length, in order as strings: their count first."""
-    bare = F.regexp_replace(F.when(digits == "", "0").otherwise(digits), "^0+(?=.)", "")
-    return F.concat(F.lpad(F.length(bare).cast("string"), 6, "0"), bare)
+    """Digits of any length, in order as strings: of one width, or after their count if they are longer than that; nothing is 0."""
+    bare = F.regexp_replace(digits, "^0+(?=.)", "")
+    long = _bind(bare, lambda b: F.when(F.length(b) <= 18, F.lpad(b, 18, "0")).otherwise(F.concat(F.lit(":"), F.lpad(F.length(b).cast("string"), 6, "0"), b)))
+    return F.when(F.length(digits) <= 18, F.lpad(digits, 18, "0")).otherwise(long)
 
 
 def _identifiers(text: Column) -> Column:
@@ -41,96 +47,108 @@ def _identifiers(text: Column) -> Column:
     return F.transform(F.split(text, r"\."), lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lit("1"), _number(p))).otherwise(F.concat(F.lit("2"), p)))
 
 
-def _released(core: list[Column], pre: Column, has_pre: Column) -> Column:
-    tail = F.when(has_pre, F.concat(F.array(F.lit("0")), _identifiers(pre))).otherwise(F.array(F.lit("9")))
-    return F.concat(F.array(*core), tail)
+def _groups(pattern: str, n: int, text: Column, function) -> Column:
+    """function(groups) of a text that matches from start to end, else null: all groups (empty ones too) by one match. groups[1] is the first."""
+    mark = "\u0001"
+    marked = F.regexp_replace(text, pattern, "".join(f"{mark}${k}" for k in range(1, n + 1)))
+    return _bind(marked, lambda m: F.when(F.startswith(m, F.lit(mark)), _bind(F.split(m, mark), function)))
 
 
-def _by(pattern: str, v: Column, group: int) -> Column:
-    return F.regexp_extract(v, pattern, group)
+def _numbers(g: Column, n: int) -> Column:
+    return F.array(*[_number(F.get(g, F.lit(k))) for k in range(1, n + 1)])
 
 
-def _semver(pattern: str, v: Column) -> Column:
-    core = [_number(_by(pattern, v, k)) for k in (1, 2, 3)]
-    return F.when(v.rlike(pattern), _released(core, _by(pattern, v, 4), _by(pattern, v, 4) != ""))
+def _released(g: Column, n: int) -> Column:
+    """n numbers, and the identifiers of a pre-release in the group after them."""
+    pre = F.get(g, F.lit(n + 1))
+    tail = F.when(pre != "", F.concat(F.array(F.lit("0")), _identifiers(pre))).otherwise(F.array(F.lit("9")))
+    return F.concat(_numbers(g, n), tail)
 
 
 def key_go(v: Column, bound: bool = False) -> Column:
     """v may be missing; short forms without pre-release; build metadata does not count."""
-    return _semver(_SEMVER, F.regexp_replace(v, "^v", ""))
+    return _groups(_SEMVER, 4, F.regexp_replace(v, "^v", ""), lambda g: _released(g, 3))
 
 
 def key_cargo(v: Column, bound: bool = False) -> Column:
     """Three parts, after one v; a bound may be short and has no v."""
-    return _semver(_SEMVER, v) if bound else _semver(_STRICT, F.regexp_replace(v, "^v", ""))
+    return _groups(_SEMVER if bound else _STRICT, 4, v if bound else F.regexp_replace(v, "^v", ""), lambda g: _released(g, 3))
 
 
 def key_npm(v: Column, bound: bool = False) -> Column:
     """Three parts, or four, of which the last does not count."""
     bare = F.substring_index(F.regexp_replace(v, "^v?V?", ""), "+", 1)
-    pattern = rf"^({_INT})\.({_INT})\.({_INT})(?:\.[^.-]*)?(?:-(.*))?$"
-    core = [_number(_by(pattern, bare, k)) for k in (1, 2, 3)]
-    return F.when(bare.rlike(pattern), _released(core, _by(pattern, bare, 4), _by(pattern, bare, 4) != ""))
+    return _groups(rf"^({_INT})\.({_INT})\.({_INT})(?:\.[^.-]*)?(?:-(.*))?$", 4, bare, lambda g: _released(g, 3))
 
 
 def key_nuget(v: Column, bound: bool = False) -> Column:
     """One to four numbers; identifiers without case, and without leading zeros if they are numbers; floating versions are undecidable."""
     bare = F.lower(F.substring_index(F.regexp_replace(F.trim(v), "^[vV]", ""), "+", 1))
     pattern = rf"^({_INT})(?:\.({_INT}))?(?:\.({_INT}))?(?:\.({_INT}))?(?:-((?:0|[1-9][0-9]{{0,17}}|[^.]*[^.0-9][^.]*)(?:\.(?:0|[1-9][0-9]{{0,17}}|[^.]*[^.0-9][^.]*))*))?$"
-    core = [_number(_by(pattern, bare, k)) for k in (1, 2, 3, 4)]
-    return F.when(bare.rlike(pattern) & ~F.contains(v, F.lit("*")), _released(core, _by(pattern, bare, 5), _by(pattern, bare, 5) != ""))
+    return F.when(~F.contains(v, F.lit("*")), _groups(pattern, 5, bare, lambda g: _released(g, 4)))
 
 
 def key_pub(v: Column, bound: bool = False) -> Column:
     """Three numbers; build metadata sorts after the same version without it, and by its identifiers."""
-    bare = F.regexp_replace(v, "^v", "")
-    pattern = rf"^({_INT})\.({_INT})\.({_INT})(?:-([^+]*))?(?:\+(.*))?$"
-    core = [_number(_by(pattern, bare, k)) for k in (1, 2, 3)]
-    pre, build = _by(pattern, bare, 4), _by(pattern, bare, 5)
-    # A closing 0 ends the identifiers of a pre-release, before any further one.
-    tail = F.when(pre != "", F.concat(F.array(F.lit("0")), _identifiers(pre), F.array(F.lit("0")))).otherwise(F.array(F.lit("9")))
-    more = F.when(build != "", F.concat(F.array(F.lit("1")), _identifiers(build))).otherwise(F.array(F.lit("0")))
-    return F.when(bare.rlike(pattern), F.concat(F.array(*core), tail, more))
+
+    def key(g: Column) -> Column:
+        pre, build = F.get(g, F.lit(4)), F.get(g, F.lit(5))
+        # A closing 0 ends the identifiers of a pre-release, before any further one.
+        tail = F.when(pre != "", F.concat(F.array(F.lit("0")), _identifiers(pre), F.array(F.lit("0")))).otherwise(F.array(F.lit("9")))
+        more = F.when(build != "", F.concat(F.array(F.lit("1")), _identifiers(build))).otherwise(F.array(F.lit("0")))
+        return F.concat(_numbers(g, 3), tail, more)
+
+    return _groups(rf"^({_INT})\.({_INT})\.({_INT})(?:-([^+]*))?(?:\+(.*))?$", 5, F.regexp_replace(v, "^v", ""), key)
 
 
 #: The stability tiers in their order.
 TIERS = {"dev": "0", "alpha": "1", "a": "1", "beta": "2", "b": "2", "rc": "3", "": "4", "patch": "5", "p": "5"}
 
 
+def _mapped(values: dict, key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
+
+
 def key_packagist(v: Column, bound: bool = False) -> Column:
     """One to four numbers, and a stability after a dash; branch aliases are undecidable."""
-    bare = F.lower(F.regexp_replace(F.trim(v), "^[vV]", ""))
     pattern = rf"^({_INT})(?:\.({_INT}))?(?:\.({_INT}))?(?:\.({_INT}))?(?:-(dev|alpha|a|beta|b|rc|patch|p)\.?([0-9]{{0,18}}))?$"
-    tier, n = _by(pattern, bare, 5), _by(pattern, bare, 6)
-    rank = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in TIERS.items() for x in pair]), tier), F.lit("4"))
-    alias = F.lower(F.trim(v)).rlike(r"^dev-|\.x-dev$")
-    fits = bare.rlike(pattern) & ~alias & ~((tier == "dev") & n.rlike("[1-9]"))
-    return F.when(fits, F.array(*[_number(_by(pattern, bare, k)) for k in (1, 2, 3, 4)], rank, _number(n)))
+
+    def key(g: Column) -> Column:
+        tier, n = F.get(g, F.lit(5)), F.get(g, F.lit(6))
+        return F.when(~((tier == "dev") & n.rlike("[1-9]")), F.concat(_numbers(g, 4), F.array(_mapped(TIERS, tier), _number(n))))
+
+    return _bind(F.lower(F.trim(v)), lambda x: F.when(~x.rlike(r"^dev-|\.x-dev$"), _groups(pattern, 6, F.regexp_replace(x, "^v", ""), key)))
 
 
 #: The places of the kinds of versions of one release: development, those of alpha, beta and rc, alpha, beta, rc, final, post.
 _PEP = rf"^(?:({_INT})!)?({_INT}(?:\.{_INT})*)(?:\.?(a|alpha|b|beta|c|preview|rc)\.?({_INT}))?(?:\.post({_INT}))?(?:\.dev({_INT}))?$"
-_KINDS = {"a": 1, "alpha": 1, "b": 2, "beta": 2, "c": 3, "preview": 3, "rc": 3}
+_KINDS = {"": 0, "a": 1, "alpha": 1, "b": 2, "beta": 2, "c": 3, "preview": 3, "rc": 3}
 
 
 def key_pypi(v: Column, bound: bool = False, published: bool = False) -> Column:
     """Epoch, release, place, number, local. A development version of a pre-release sorts before all pre-releases, and its own number
     does not count; a post part counts only where no other is. With `published`, the published order of all parts."""
-    whole = F.lower(F.regexp_replace(F.trim(v), "^[vV]", ""))
-    local, bare = F.regexp_extract(whole, r"^[^+]*\+(.*)$", 1), F.substring_index(whole, "+", 1)
-    bare = F.regexp_replace(F.regexp_replace(bare, rf"^([0-9]+(?:\.[0-9]+)*)-([0-9]+)$", "$1.post$2"), "[-_]", ".")
-    part = lambda k: _by(_PEP, bare, k)
-    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair]), part(3)), F.lit(0))
-    release = F.transform(F.split(F.regexp_replace(part(2), r"(\.0+)+$", ""), r"\."), lambda p: F.concat(F.lit("1"), _number(p)))
-    has_dev, has_pre, has_post = part(6) != "", part(3) != "", part(5) != ""
-    if published:
-        place = F.when(has_pre, kind.cast("string")).when(has_dev & ~has_post, "0").otherwise("4")
-        slot = [place, _number(part(4)), F.when(has_post, F.concat(F.lit("1"), _number(part(5)))).otherwise("0"), F.when(has_dev, F.concat(F.lit("0"), _number(part(6)))).otherwise("1")]
-    else:
-        place = F.when(has_dev, kind).when(has_pre, kind + 3).when(has_post, 8).otherwise(7)
-        slot = [place.cast("string"), F.when(has_dev, _number(part(6))).when(has_pre, _number(part(4))).when(has_post, _number(part(5))).otherwise(_number(F.lit("0")))]
-    own = F.when(local == "", "0").otherwise(F.concat(F.lit("1"), local))
-    return F.when(bare.rlike(_PEP), F.concat(F.array(_number(part(1))), release, F.array(F.lit("0"), *slot, own)))
+
+    def key(g: Column, local: Column) -> Column:
+        part = lambda k: F.get(g, F.lit(k))
+        kind = _mapped(_KINDS, part(3))
+        release = F.transform(F.split(F.regexp_replace(part(2), r"(\.0+)+$", ""), r"\."), lambda p: F.concat(F.lit("1"), _number(p)))
+        has_dev, has_pre, has_post = part(6) != "", part(3) != "", part(5) != ""
+        if published:
+            place = F.when(has_pre, kind.cast("string")).when(has_dev & ~has_post, "0").otherwise("4")
+            slot = [place, _number(part(4)), F.when(has_post, F.concat(F.lit("1"), _number(part(5)))).otherwise("0"), F.when(has_dev, F.concat(F.lit("0"), _number(part(6)))).otherwise("1")]
+        else:
+            place = F.when(has_dev, kind).when(has_pre, kind + 3).when(has_post, 8).otherwise(7)
+            slot = [place.cast("string"), _number(F.when(has_dev, part(6)).when(has_pre, part(4)).when(has_post, part(5)).otherwise(""))]
+        own = F.when(local == "", "0").otherwise(F.concat(F.lit("1"), local))
+        return F.concat(F.array(_number(part(1))), release, F.array(F.lit("0"), *slot, own))
+
+    def parsed(whole: Column) -> Column:
+        local, bare = F.regexp_extract(whole, r"^[^+]*\+(.*)$", 1), F.substring_index(whole, "+", 1)
+        bare = F.translate(F.regexp_replace(bare, r"^([0-9]+(?:\.[0-9]+)*)-([0-9]+)$", "$1.post$2"), "-_", "..")
+        return _groups(_PEP, 6, bare, lambda g: key(g, local))
+
+    return _bind(F.lower(F.regexp_replace(F.trim(v), "^[vV]", "")), parsed)
 
 
 def key_rubygems(v: Column, bound: bool = False) -> Column:
@@ -139,9 +157,6 @@ def key_rubygems(v: Column, bound: bool = False) -> Column:
     A run of zeros is written at the part after it: a word after fewer zeros is less, a number after fewer is more,
     and the end, where all that is missing is 0, lies between. Zeros before the first word do not count.
     """
-    bare = F.lower(F.regexp_replace(F.trim(v), "^[vV]", ""))
-    bare = F.when(bare == "", "0").otherwise(bare)
-    runs = F.regexp_extract_all(bare, F.lit("([0-9]+|[a-z]+)"), F.lit(1))
     zeros = lambda n: F.lpad(n.cast("string"), 6, "0")
     start = F.expr("cast(struct(array() as key, 0 as zeros, false as word) as struct<key:array<string>,zeros:int,word:boolean>)")
 
@@ -152,8 +167,12 @@ def key_rubygems(v: Column, bound: bool = False) -> Column:
         key = F.when(none, s["key"]).otherwise(F.concat(s["key"], F.array(F.when(word, less).otherwise(more))))
         return F.struct(key.alias("key"), F.when(none, s["zeros"] + 1).otherwise(0).alias("zeros"), (s["word"] | word).alias("word"))
 
-    key = F.concat(F.aggregate(runs, start, step)["key"], F.array(F.lit("1")))
-    return F.when(bare.rlike(r"^[0-9][0-9a-z.-]*$") & ~bare.rlike("[0-9]{19}"), key)
+    def parsed(x: Column) -> Column:
+        bare = F.when(x == "", "0").otherwise(x)
+        key = F.concat(F.aggregate(F.regexp_extract_all(bare, F.lit("([0-9]+|[a-z]+)"), F.lit(1)), start, step)["key"], F.array(F.lit("1")))
+        return F.when(bare.rlike(r"^[0-9][0-9a-z.-]*$") & ~bare.rlike("[0-9]{19}"), key)
+
+    return _bind(F.lower(F.regexp_replace(F.trim(v), "^[vV]", "")), parsed)
 
 
 _REGISTRY: dict[str, Callable[..., Column]] = {}
