@@ -11,12 +11,12 @@ flat key can give, compares pairs in an Arrow UDF (use it on distinct pairs).
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BooleanType, IntegerType, StructType
 
 NOT_AFFECTED, AFFECTED, UNDECIDABLE = 0, 1, 2
 STRINGS = "array<string>"
@@ -305,6 +305,43 @@ def maven_compare(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="Int32")
 
 
+#: Whether a version parses, and its order against each bound of a range: -1, 0 or 1; null where the bound does not parse, or is empty.
+MAVEN_ORDERS = StructType().add("parses", BooleanType()).add("introduced", IntegerType()).add("fixed", IntegerType()).add("last_affected", IntegerType())
+
+
+@F.pandas_udf(MAVEN_ORDERS)
+def maven_orders(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    """Of versions and their ranges' bounds (empty is none); a task parses each text, and compares each pair, once."""
+    items: dict = {}
+    orders: dict = {}
+
+    def parsed(v):
+        if v not in items:
+            items[v] = maven_items(v)
+        return items[v]
+
+    def order(v, bound):
+        if not isinstance(v, str) or not bound:
+            return None
+        if (v, bound) not in orders:
+            x, y = parsed(v), parsed(bound)
+            orders[v, bound] = None if x is None or y is None else maven_order(x, y)
+        return orders[v, bound]
+
+    for version, *bounds in batches:
+        if len(orders) > 1_000_000:  # what is forgotten is computed anew
+            items.clear()
+            orders.clear()
+        out = {"parses": [isinstance(v, str) and parsed(v) is not None for v in version]}
+        for name, bound in zip(("introduced", "fixed", "last_affected"), bounds, strict=True):
+            out[name] = pd.Series([order(v, b) for v, b in zip(version, bound, strict=True)], dtype="Int32")
+        yield pd.DataFrame(out)
+
+
+# So that a filter on the verdict does not run it twice.
+maven_orders = maven_orders.asNondeterministic()
+
+
 # --- Ranges ------------------------------------------------------------------
 
 

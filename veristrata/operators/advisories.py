@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veristrata.functions.risk import SYMBOL_REACHABLE
 from veristrata.functions.text import last_segment, product_token
-from veristrata.functions.versions import any_range, compared_verdict, dotted_compare, listed_verdict, maven_compare, range_verdict, version_key
+from veristrata.functions.versions import any_range, compared_verdict, dotted_compare, listed_verdict, maven_orders, range_verdict, version_key
 
 PACKAGE = ["ecosystem", "name"]
 BOUNDS = ["introduced", "fixed", "last_affected"]
@@ -35,8 +35,8 @@ def match(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     keyed = ranges.filter(~maven).withColumns({f"{b}_key": F.when(h, version_key(F.col("ecosystem"), F.col(b), bound=True)) for b, h in zip(BOUNDS, has, strict=True)})
     flat = versions.filter(~maven).join(keyed, PACKAGE).withColumn("verdict", range_verdict(F.col("key"), *[F.col(f"{b}_key") for b in BOUNDS], *has))
     paired = versions.filter(maven).join(ranges.filter(maven), PACKAGE)
-    compared = paired.withColumns({"parses": maven_compare("version", "version").isNotNull(), **{f"{b}_order": F.when(h, maven_compare("version", b)) for b, h in zip(BOUNDS, has, strict=True)}})
-    nested = compared.withColumn("verdict", compared_verdict(F.col("parses"), *[F.col(f"{b}_order") for b in BOUNDS], *has))
+    compared = paired.withColumn("o", maven_orders("version", *BOUNDS))
+    nested = compared.withColumn("verdict", compared_verdict(F.col("o.parses"), *[F.col("o")[b] for b in BOUNDS], *has))
     columns = [*PACKAGE, "version", "advisory", "verdict"]
     listed = versions.join(own.filter(~ranged), PACKAGE).withColumn("verdict", listed_verdict(F.col("version"), F.col("versions"), F.col("undecidable_ranges")))
     rows = flat.select(*columns).union(nested.select(*columns)).union(listed.select(*columns))
