@@ -332,6 +332,21 @@ def test_join_by_every_route(spark, monkeypatch, num):
     assert seen[0] == [(True, False)] and (True, True) in seen[1] and {w for w, _ in seen[2]} == {False, True} and (False, True) in seen[2]
 
 
+def test_near_copies_are_sent_to_few_blocks(spark):
+    """Near copies share most of their paths; a block for each path sent each text as often as it has paths."""
+    rng, rows = random.Random(4), []
+    base = ["".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(300)]
+    for k in range(60):
+        own = list(base)
+        own[rng.randrange(300)] = f"w{k}"
+        rows.append((k, " ".join(own)))
+    frame, none = spark.createDataFrame(rows, "doc_id long, text string"), np.zeros(0, dtype=np.uint64)
+    paths = jaccard_join.prefixes(frame, jaccard_join.OP4, none)
+    met = jaccard_join.blocks(paths, jaccard_join.OP4)
+    assert met.select("key").distinct().count() == 60
+    assert 8 * met.count() < paths.join(paths.groupBy("h").count().filter("count > 1"), "h").count()
+
+
 def test_keep_one(spark, docs):
     """Of each component the smallest doc_id, of its equal rows the least; rows without words stay, repeated ones too."""
     clash = docs.withColumnsRenamed({"key": "text_hash", "h": "no_id", "lang": "doc", "source": "row"})

@@ -9,7 +9,9 @@ walks it once, level by level: sets that share a prefix share the overlap counte
 so far, and a subtree is left as soon as the elements that remain cannot make up
 the overlap needed. All links are exact.
 
-Copies (equal sets) are one class. Blocks that hang together are one block, to
+Copies (equal sets) are one class. Paths with the same least class among those
+that meet there are one block: the paths that near copies share have few least
+classes, so a class is sent to few blocks. Blocks that hang together are one block, to
 which each class is sent once, where that needs fewer comparisons. A block is
 split into chunks, of SMALL classes first and of CHUNK at most, and each pair of
 chunks is a task of its own: links are counted, so the work in a block grows with its pairs, but
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veristrata.llm.common import IDENTITY, SPACE, identity, packed, pieces, text_of, unpacked
-from veristrata.session import cut, table
+from veristrata.session import cut, release, table
 
 FREQUENT = 1 << 16
 #: A shingle is frequent if so many sets of one task have it.
@@ -345,9 +347,10 @@ def prefixes(docs: DataFrame, similarity: Similarity, frequent: np.ndarray) -> D
 
 
 def blocks(pairs: DataFrame, similarity: Similarity) -> DataFrame:
-    """h, key, n: the pairs of elements by which classes can link, and how many meet there. pairs: as of prefixes().
+    """block, key, n: the classes that can link, by block, and how many are in it. pairs: as of prefixes().
 
-    A class leaves a block where no class of a size that could link with its own is.
+    A class leaves a path where no class of a size that could link with its own is. A path's least class names its
+    block, so classes that meet at a path are in one block.
     """
     partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by_h, by_size = Window.partitionBy("h"), Window.partitionBy("h").orderBy("size", "key")
@@ -355,7 +358,8 @@ def blocks(pairs: DataFrame, similarity: Similarity) -> DataFrame:
     met = met.withColumns({"before": F.lag("size").over(by_size), "after": F.lead("size").over(by_size)})
     alike = lambda x, y: F.coalesce(F.lit(similarity.den) * x >= F.lit(similarity.num) * y, F.lit(False))
     met = met.filter(alike(F.col("before"), F.col("size")) | alike(F.col("size"), F.col("after"))).select("h", "key")
-    return cut(met.withColumn("n", F.count("key").over(by_h)))
+    named = met.select(F.min("key").over(by_h).alias("block"), "key").distinct()
+    return cut(named.withColumn("n", F.count("key").over(Window.partitionBy("block"))))
 
 
 def candidates(docs: DataFrame, known: DataFrame, met: DataFrame) -> DataFrame:
@@ -366,35 +370,37 @@ def candidates(docs: DataFrame, known: DataFrame, met: DataFrame) -> DataFrame:
     return cut(texts.join(first, IDENTITY).select("key", "size", "text"))
 
 
-def links(docs: DataFrame, known: DataFrame, met: DataFrame, similarity: Similarity, frequent: np.ndarray) -> DataFrame:
+def links(docs: DataFrame, known: DataFrame, met: DataFrame, similarity: Similarity) -> DataFrame:
     """key, root, linked: a row for each class and block: the first class of its component there, and with how many documents of other classes it links, if they are counted there. met: as of blocks().
 
     Classes that meet, directly or through others, form a group. Either the
-    group is one block, and each class is sent once, or each path is a block:
-    whichever has fewer pairs to compare. A pair that meets at several paths
-    counts at the least of them, so each link is counted once.
+    group is one block, and each class is sent once, or its blocks stay:
+    whichever has fewer pairs to compare. A pair that meets in several blocks
+    counts in the least of them, so each link is counted once.
     """
-    texts, by_h = candidates(docs, known, met), Window.partitionBy("h")
-    groups = components(met.withColumn("a", F.min("key").over(by_h)).select("a", F.col("key").alias("b")))
+    texts = candidates(docs, known, met)
+    groups = components(met.select(F.col("block").alias("a"), F.col("key").alias("b")))
     roots = met.select("key").distinct().join(groups.select(F.col("b").alias("key"), F.col("a").alias("group")), "key", "left").select("key", F.coalesce("group", "key").alias("group"))
     roots = cut(roots)
     own = roots.groupBy("group").agg(F.count("*").alias("n"))
     dense = met.join(roots, "key").groupBy("group").agg(F.sum("n").alias("pairs"))  # a class of a block of n meets n of them
     groups = cut(own.join(dense, "group").withColumn("whole", (F.col("n") <= CHUNK) | (F.col("n") * F.col("n") <= F.col("pairs"))).select("group", "n", "whole"))
     kept = roots.join(groups, "group")
-    whole = kept.filter("whole").select(F.col("group").alias("block"), "key", "n", F.lit(True).alias("whole"))
-    rest = met.join(kept.filter("not whole").select("key"), "key").select(F.col("h").alias("block"), "key", "n", F.lit(False).alias("whole"))
-    return in_blocks(texts, whole.unionByName(rest), similarity, frequent)
+    whole = kept.filter("whole").select(F.col("group").alias("block"), "key", "n", F.lit(True).alias("whole"), F.lit(None).cast("array<long>").alias("blocks"))
+    rest = met.join(kept.filter("not whole").select("key"), "key")
+    rest = rest.join(rest.groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("blocks")), "key").select("block", "key", "n", F.lit(False).alias("whole"), "blocks")
+    found = cut(in_blocks(texts, whole.unionByName(rest), similarity))
+    release(texts, roots, groups)
+    return found
 
 
-def in_blocks(texts: DataFrame, where: DataFrame, similarity: Similarity, frequent: np.ndarray) -> DataFrame:
-    """key, root, linked, as of links(). where: block, key, n (classes in the block), whole (whether the block is a group)."""
+def in_blocks(texts: DataFrame, where: DataFrame, similarity: Similarity) -> DataFrame:
+    """key, root, linked, as of links(). where: block, key, n (classes in the block), whole (whether the block is a group), blocks (else: all of the class)."""
     partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = F.greatest(F.expr(f"(n + {CHUNK - 1}) div {CHUNK}"), F.least(F.lit(SPLIT), F.expr(f"(n + {SMALL - 1}) div {SMALL}"))).cast("int")
     sent = where.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    sent = sent.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", "block", "whole", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = texts.join(sent, "key").select("block", "whole", "i", "j", "own", "key", "size", "text")
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    sent = sent.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select("key", "block", "whole", "blocks", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = texts.join(sent, "key").select("block", "whole", "i", "j", "own", "key", "size", "blocks", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks one after the other, as the rows are sorted; one block (of 2 CHUNK classes, about) is held at a time."""
@@ -404,10 +410,10 @@ def in_blocks(texts: DataFrame, where: DataFrame, similarity: Similarity, freque
             block, whole, i, j = held
             keys, sizes = [x[1] for x in sets], np.array([x[2] for x in sets], dtype=np.int64)
             first = None if i == j else sum(x[0] == i for x in sets)
-            own = None if whole else [np.sort(paths(x[3], similarity, shared.value)) for x in sets]
+            own = None if whole else [np.array(x[4], dtype=np.int64) for x in sets]
 
             def least_here(a: int, found: np.ndarray) -> np.ndarray:
-                return np.array([b for b in found.tolist() if np.intersect1d(own[a], own[b])[0] == block], dtype=np.int64)
+                return np.array([b for b in found.tolist() if np.intersect1d(own[a], own[b], assume_unique=True)[0] == block], dtype=np.int64)
 
             if first == 0 or first == len(sets):
                 return
@@ -426,14 +432,14 @@ def in_blocks(texts: DataFrame, where: DataFrame, similarity: Similarity, freque
         for batch in batches:
             for part in pieces(batch, "text", PIECE):
                 found = shingle_sets([t.as_buffer().to_pybytes() for t in part.column("text")], similarity.shingle)
-                columns = [part.column(c).to_pylist() for c in ("block", "whole", "i", "j", "own", "key", "size")]
-                for *block, side, key, size, s in zip(*columns, found, strict=True):
+                columns = [part.column(c).to_pylist() for c in ("block", "whole", "i", "j", "own", "key", "size", "blocks")]
+                for *block, side, key, size, own_blocks, s in zip(*columns, found, strict=True):
                     if block != held:
                         if len(sets) > 1:
                             solve()
                         held, sets = block, []
                     if not sets or sets[-1][:2] != (side, key):  # a repeated row's text comes twice
-                        sets.append((side, key, size, s))
+                        sets.append((side, key, size, s, own_blocks))
             yield flush()
         if len(sets) > 1:
             solve()
@@ -483,7 +489,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(least, "b")
         small = joined.select(F.col("m").alias("a"), "b").union(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct()
-        edges = cut(small)
+        before_edges, edges = edges, cut(small)
+        release(before_edges)
 
 
 def grouped(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFrame]:
@@ -493,7 +500,8 @@ def grouped(docs: DataFrame, similarity: Similarity) -> tuple[DataFrame, DataFra
     often = both.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()  # FREQUENT numbers
     frequent = np.sort(np.array([r["h"] for r in often], dtype=np.int64).view(np.uint64))
     met = blocks(prefixes(docs, similarity, frequent), similarity)
-    found = cut(links(docs, known, met, similarity, frequent))
+    found = links(docs, known, met, similarity)
+    release(met)
     stars = components(found.select(F.col("root").alias("a"), F.col("key").alias("b")))
     keys = known.filter("key is not null").select("key").distinct()
     roots = keys.join(stars.select(F.col("b").alias("key"), F.col("a").alias("root")), "key", "left")
