@@ -218,3 +218,12 @@ def test_small_functions(spark):
     cases = {(True, True, True, True, True, False, True, True): (3, False), (True, True, False, False, False, False, False, True): (2, True), (True, False, True, True, True, False, True, True): (1, False), (True, False, False, True, True, False, True, True): (0, True), (False, True, True, True, True, False, True, True): (0, True), (True, True, True, True, True, True, True, True): (0, True), (True, True, True, True, False, False, False, False): (2, False), (True, True, True, True, False, False, False, True): (0, True), (True, True, True, True, True, False, False, True): (0, False)}
     assert {k: tuple(get(decisions.distribution_confidence(*map(b, k)))) for k in cases} == cases
     assert [tuple(get(decisions.crate_decision(*map(b, x)))) for x in ((True, False, False, True), (True, True, True, True), (False, None, None, None), (None, False, True, False))] == [(2, False, True), (0, True, False), (1, False, False), (0, True, False)]
+
+
+def test_ignores_are_not_broadcast(spark):
+    """Ignores from an explode look as small as before it."""
+    found = spark.createDataFrame([("A-1", "m"), ("A-9", "m"), ("A-1", "n")], "id string, module string")
+    ignores = spark.range(1).selectExpr("explode(sequence(0, 5)) as k").selectExpr("concat('A-', k) as id", "'m' as module", "'2030-01-01' as expires")
+    left = advisories.drop_ignored(found, ignores, "2024-01-01")
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, left.collect())) == [("A-1", "n"), ("A-9", "m")]
