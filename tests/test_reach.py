@@ -227,3 +227,18 @@ def test_ignores_are_not_broadcast(spark):
     left = advisories.drop_ignored(found, ignores, "2024-01-01")
     assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, left.collect())) == [("A-1", "n"), ("A-9", "m")]
+
+
+def test_paths_without_broadcasts(spark, monkeypatch):
+    """Edges from an explode look as small as before it. The paths go through several anchors; the deepest nodes are anchors too."""
+    plans, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    monkeypatch.setattr(graph, "FEW", 0, raising=False)
+    monkeypatch.setattr(graph, "STRIDE", 2, raising=False)
+    edges = spark.range(1, 50).selectExpr("1 as graph", "id as src", "explode(array(id * 3, id * 2, id + 1)) as dst").selectExpr("*", "lpad(dst, 4, '0') as sort_key", "concat(src, '>', dst) as site")
+    want = bfs([(n, d, f"{d:4}") for n in range(1, 50) for d in (n * 3, n * 2, n + 1)], [1])
+    odd = frame(spark, [(1, n) for n in range(1, 150, 2)], "graph int, node long")
+    got = graph.shortest_paths(edges, odd.filter("node = 1"), odd).collect()
+    assert max(map(len, want.values())) == 9 and {r.target: r.path for r in got} == {n: p for n, p in want.items() if n % 2}
+    assert all(r.sites == [f"{a}>{b}" for a, b in zip(r.path, r.path[1:])] for r in got)
+    assert plans and not any("BroadcastExchange" in p for p in plans)

@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from veristrata.session import cut, release
+
+#: Levels between two anchors of a path.
+STRIDE = 8
+#: Nodes of a level that a broadcast takes to the edges.
+FEW = 10_000
 
-from veristrata.session import cut
 
 def reachable(edges: DataFrame, roots: DataFrame, by: list[str] | None = None, most_levels: int | None = None) -> DataFrame:
     """by, node, depth: all nodes that roots (by, node) reach over edges (by, src, dst), at their least depth. Cycles are fine.
@@ -42,33 +49,46 @@ def shortest_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> Da
     edges: graph, src, dst, sort_key, site; roots and targets: graph, node. Roots queue in order of their names, a node's
     edges in order of sort_key (then dst); the first to reach a node is its predecessor. So a node is ranked, in its
     level, by its predecessor's rank and the edge: this is the order in which a queue would take it.
+
+    A node keeps the part of its path since its anchor, its ancestor at the last depth below its own that STRIDE divides (null:
+    all of the path), so paths are put together anchor by anchor. Joins are merged, but for levels of few nodes: the sizes of
+    edges that a query makes are guessed before they are made, and the driver would gather them for a broadcast.
     """
+    none = F.array().cast(ArrayType(edges.schema["site"].dataType))
     start = Window.partitionBy("graph").orderBy("node")
-    seen = roots.select("graph", "node").distinct().withColumns({"depth": F.lit(0), "rank": F.row_number().over(start).cast("long"), "parent": F.lit(None).cast(roots.schema["node"].dataType), "site": F.lit(None).cast(edges.schema["site"].dataType)})
+    seen = roots.select("graph", "node").distinct().withColumns({"depth": F.lit(0), "rank": F.row_number().over(start).cast("long"), "anchor": F.lit(None).cast(roots.schema["node"].dataType), "path": F.array("node"), "sites": none})
     seen = frontier = cut(seen)
-    depth = 0
-    while True:
+    edges = cut(edges.select("graph", "src", "dst", "sort_key", "site").repartition("graph", "src"))  # every level reads them, by many tasks
+    parts, depth = [seen], 0
+    while count := frontier.count():
+        at_anchor = depth > 0 and depth % STRIDE == 0
+        kept = {"anchor": F.col("node"), "path": F.slice("path", 1, 0), "sites": none} if at_anchor else {}
         depth += 1
-        here = frontier.select("graph", F.col("node").alias("src"), "rank")
-        reached = here.join(edges, ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg(F.min(F.struct("rank", "sort_key", F.col("src").alias("parent"), "site")).alias("first"))
-        new = reached.join(seen.select("graph", "node"), ["graph", "node"], "left_anti")
+        here = frontier.withColumns(kept).select("graph", F.col("node").alias("src"), "rank", "anchor", "path", "sites")
+        here = here.hint("broadcast" if count <= FEW else "merge")
+        first = F.min(F.struct("rank", "sort_key", F.col("src").alias("parent"), "site", "anchor", "path", "sites")).alias("first")
+        reached = edges.join(here, ["graph", "src"]).groupBy("graph", F.col("dst").alias("node")).agg(first)
+        # Not left_anti: the optimizer would push that below the grouping, to all edges.
+        new = reached.join(seen.select("graph", "node", F.lit(True).alias("known")).hint("merge"), ["graph", "node"], "left").filter("known is null")
         order = Window.partitionBy("graph").orderBy("first.rank", "first.sort_key", "node")
-        frontier = cut(new.select("graph", "node", F.lit(depth).alias("depth"), F.row_number().over(order).cast("long").alias("rank"), F.col("first.parent").alias("parent"), F.col("first.site").alias("site")))
-        if frontier.isEmpty():
-            break
+        frontier = cut(new.select("graph", "node", F.lit(depth).alias("depth"), F.row_number().over(order).cast("long").alias("rank"), "first.anchor", F.concat("first.path", F.array("node")).alias("path"), F.concat("first.sites", F.array("first.site")).alias("sites")))
         seen = seen.union(frontier)
-        if depth % 8 == 0:
+        parts.append(frontier)
+        if depth % STRIDE == 0:
             seen = cut(seen)
-    seen = cut(seen)
+            release(*parts[:-1])  # the last one is the frontier
+            parts = [seen, frontier]
+    release(edges)
     back = targets.select("graph", F.col("node").alias("target")).distinct()
-    rows = back.withColumn("node", F.col("target")).join(seen, ["graph", "node"])
-    rows = cut(rows.select("graph", "target", F.col("parent").alias("at"), F.array("node").alias("path"), F.array("site").alias("sites")))
-    while not rows.filter("at is not null").isEmpty():
-        up = seen.select("graph", F.col("node").alias("at"), F.col("parent").alias("above"), F.col("site").alias("here"))
-        rows = rows.join(up, ["graph", "at"], "left")
-        more = F.col("at").isNotNull()
-        rows = cut(rows.select("graph", "target", F.col("above").alias("at"), F.when(more, F.concat(F.array("at"), "path")).otherwise(F.col("path")).alias("path"), F.when(more, F.concat(F.array("here"), "sites")).otherwise(F.col("sites")).alias("sites")))
-    return rows.select("graph", "target", "path", F.slice("sites", F.lit(2), F.greatest(F.size("sites") - 1, F.lit(0))).alias("sites"))
+    rows = back.withColumn("node", F.col("target")).join(seen.hint("merge"), ["graph", "node"])
+    rows = cut(rows.select("graph", "target", F.col("anchor").alias("at"), "path", "sites"))
+    out = rows.filter("at is null")
+    anchors = seen.filter(F.col("depth") % STRIDE == 0).select("graph", F.col("node").alias("at"), "anchor", F.col("path").alias("before"), F.col("sites").alias("crossed"))
+    for _ in range(STRIDE, depth - 1, STRIDE):  # the deepest nodes are at depth - 1
+        rows = rows.filter("at is not null").join(anchors.hint("merge"), ["graph", "at"])
+        rows = cut(rows.select("graph", "target", F.col("anchor").alias("at"), F.concat("before", "path").alias("path"), F.concat("crossed", "sites").alias("sites")))
+        out = out.union(rows.filter("at is null"))
+    return out.select("graph", "target", "path", "sites")
 
 
 def components(edges: DataFrame) -> DataFrame:
